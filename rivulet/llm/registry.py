@@ -7,18 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import bpe
+from rivulet.llm import bpe, simhash
 from rivulet.llm.common import read
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(read(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_bpe": op7_bpe}
+    return {"op4_simhash": op4_simhash, "op7_bpe": op7_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
