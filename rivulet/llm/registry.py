@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import bpe, decontaminate, simhash
+from rivulet.llm import bpe, decontaminate, linededup, simhash
 from rivulet.llm.common import read
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(read(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read(spark, sf_dir, "documents"))
 
@@ -26,8 +30,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_simhash": op4_simhash, "op7_bpe": op7_bpe, "op10_decontaminate": op10_decontaminate}
+    return {"op3_linededup": op3_linededup, "op4_simhash": op4_simhash, "op7_bpe": op7_bpe, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": decontaminate.ORACLE}
+    return {"op3_linededup": linededup.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
