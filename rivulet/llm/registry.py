@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import bpe, decontaminate, linededup, simhash
+from rivulet.llm import bpe, decontaminate, langid, linededup, simhash
 from rivulet.llm.common import read
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -21,6 +21,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read(spark, sf_dir, "documents"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(read(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -30,7 +34,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_linededup": op3_linededup, "op4_simhash": op4_simhash, "op7_bpe": op7_bpe, "op10_decontaminate": op10_decontaminate}
+    return {"op3_linededup": op3_linededup, "op4_simhash": op4_simhash, "op5_langid": op5_langid, "op7_bpe": op7_bpe, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
