@@ -16,9 +16,9 @@ piece by piece, so that only its ids are held.
 from __future__ import annotations
 
 import base64
-from array import array
+import re
+import struct
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from rivulet.llm.common import bounded_batches
 
-#: Pre-tokens whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 150_000
+#: Pre-tokens whose ids a worker remembers, newest; as many older ones are kept beside.
+REMEMBERED = 250_000
 #: Texts of more characters are matched piece by piece.
 LONG_TEXT = 4_000_000
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -47,22 +47,13 @@ def load_ranks(path: str) -> list[bytes]:
     return out
 
 
-def _halves(key: bytes) -> tuple[int, int]:
-    x = xxhash.xxh3_128_intdigest(key)
-    return x >> 64, x & 0xFFFFFFFFFFFFFFFF
+def _spread(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """The slot of hashes h under displacements d (multiply and shift)."""
+    return ((((h ^ (d * _MIX1)) * _MIX2) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _spread(x: np.ndarray) -> np.ndarray:
-    """A mixing of 64 bits (the finaliser of splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX1
-    x = (x ^ (x >> np.uint64(27))) * _MIX2
-    return x ^ (x >> np.uint64(31))
-
-
-def _spread1(x: int) -> int:
-    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
-    return x ^ (x >> 31)
+def _spread1(h: int, d: int, n: int) -> int:
+    return ((((h ^ (d * 0xBF58476D1CE4E5B9)) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF) >> 32) * n) >> 32
 
 
 class PerfectHash:
@@ -80,9 +71,8 @@ class PerfectHash:
     def build(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The displacement of each bucket and the key number in each slot."""
         n, buckets = len(keys), max(1, len(keys) // 4)
-        hashed = [_halves(k) for k in keys]
-        bucket = np.array([hi % buckets for hi, _ in hashed])
-        low = np.array([lo for _, lo in hashed], dtype=np.uint64)
+        low = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], dtype=np.uint64)
+        bucket = (low % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         starts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         sizes = np.diff(starts)
@@ -95,7 +85,7 @@ class PerfectHash:
             own, base = order[starts[b] : starts[b + 1]], 0
             while True:
                 d = tries + np.uint64(base)
-                slots = (_spread(low[own][:, None] + d[None, :]) % np.uint64(n)).astype(np.int64)
+                slots = _spread(low[own][:, None], d[None, :], n)
                 good = free[slots].all(axis=0)
                 ordered = np.sort(slots, axis=0)
                 good &= (ordered[1:] != ordered[:-1]).all(axis=0)
@@ -114,20 +104,28 @@ class PerfectHash:
         return shift, slot_key
 
     def slot(self, key: bytes) -> int:
-        hi, lo = _halves(key)
-        d = self.shift[hi % len(self.shift)]
-        return -1 - d if d < 0 else _spread1((lo + d) & 0xFFFFFFFFFFFFFFFF) % self.n
+        h = xxhash.xxh3_64_intdigest(key)
+        d = self.shift[h % len(self.shift)]
+        return -1 - d if d < 0 else _spread1(h & 0xFFFFFFFFFFFFFFFF, d & 0xFFFFFFFF, self.n)
 
 
-def merge(word: bytes, ranks: dict[bytes, int], longest: int) -> tuple[int, ...]:
-    """The ids of a pre-token, by merging neighbours of least rank."""
+def merge(word: bytes, ranks: dict[bytes, int], longest: int, twos: list[int | None]) -> list[int]:
+    """The ids of a pre-token, by merging neighbours of least rank.
+
+    ``following[i]`` is where the piece that starts at byte i ends, -1 once it
+    is part of the one before. A heap entry packs rank, start and end of two
+    neighbours. ``twos`` has the rank of each two bytes.
+    """
     n = len(word)
-    following, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    s = n.bit_length()
+    t, m = 2 * s, (1 << s) - 1
+    following, before = [*range(1, n + 1)], [*range(-1, n - 1)]
     get = ranks.get
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(word[i : i + 2])) is not None]
+    heap = [(r << t) | (i << s) | (i + 2) for i, (x, y) in enumerate(zip(word, word[1:], strict=False)) if (r := twos[x << 8 | y]) is not None]
     heapify(heap)
     while heap:
-        _, i, end = heappop(heap)
+        e = heappop(heap)
+        i, end = (e >> s) & m, e & m
         j = following[i]
         if j < 0 or j >= n or following[j] != end:
             continue  # one of the two has been merged meanwhile
@@ -136,20 +134,29 @@ def merge(word: bytes, ranks: dict[bytes, int], longest: int) -> tuple[int, ...]
             before[end] = i
             e = following[end]
             if e - i <= longest and (r := get(word[i:e])) is not None:
-                heappush(heap, (r, i, e))
+                heappush(heap, (r << t) | (i << s) | e)
         p = before[i]
         if p >= 0 and end - p <= longest and (r := get(word[p:end])) is not None:
-            heappush(heap, (r, p, end))
+            heappush(heap, (r << t) | (p << s) | end)
     out, i = [], 0
     while i < n:
         e = following[i]
         out.append(ranks[word[i:e]])
         i = e
-    return tuple(out)
+    return out
+
+
+#: Equal matches by the standard library, faster, for texts of Latin letters
+#: without fractions, superscripts and separators on which classes differ.
+_LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_BEYOND_LATIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
+_LATIN_FORM = {
+    r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""": re.compile(rf" ?[{_LATIN}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s0-9{_LATIN}]+|\s+(?!\S)|\s+"),
+}
 
 
 class Encoder(dict):
-    """Ids of pre-tokens; a dict that works out what it does not hold."""
+    """Ids of pre-tokens, as packed int32; a dict that works out what it does not hold."""
 
     def __init__(self, tokens: list[bytes], shift: np.ndarray, slot_key: np.ndarray, pattern: str) -> None:
         import regex
@@ -157,13 +164,19 @@ class Encoder(dict):
         self.tokens, self.hash = tokens, PerfectHash(shift, slot_key)
         self.ranks = {t: i for i, t in enumerate(tokens)}
         self.longest = max(map(len, tokens), default=0)
-        self.pattern = regex.compile(pattern)
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode("utf-8")
-        key = self.hash.slot_key[self.hash.slot(raw)]
-        ids = (key,) if self.tokens[key] == raw else merge(raw, self.ranks, self.longest)
+        self.twos = [self.ranks.get(bytes((x, y))) for x in range(256) for y in range(256)]
+        self.pattern, self.latin = regex.compile(pattern), _LATIN_FORM.get(pattern)
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode("utf-8")
+            key = self.hash.slot_key[self.hash.slot(raw)]
+            found = (key,) if self.tokens[key] == raw else merge(raw, self.ranks, self.longest, self.twos)
+            ids = struct.pack(f"={len(found)}i", *found)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
         self[piece] = ids
         return ids
@@ -171,12 +184,13 @@ class Encoder(dict):
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
+        pattern = self.latin if self.latin and not _BEYOND_LATIN.search(text) else self.pattern
         if len(text) > LONG_TEXT:
-            out = array("i")
-            for m in self.pattern.finditer(text):
-                out.extend(self[m[0]])
+            out = bytearray()
+            for m in pattern.finditer(text):
+                out += self[m[0]]
             return np.frombuffer(out, np.int32)
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, self.pattern.findall(text))), np.int32)
+        return np.frombuffer(b"".join(map(self.__getitem__, pattern.findall(text))), np.int32)
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

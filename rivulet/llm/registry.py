@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import bpe, decontaminate, langid, linededup, simhash, urlfilter
+from rivulet.llm import bpe, decontaminate, langid, linededup, simhash, urlfilter, warc
 from rivulet.llm.common import read
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -17,6 +17,10 @@ def op1_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.digest(read(spark, sf_dir, "pages"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(read(spark, sf_dir, "pages"))
+
+
 def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(read(spark, sf_dir, "documents"))
 
@@ -38,8 +42,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_urlfilter": op1_urlfilter, "op3_linededup": op3_linededup, "op4_simhash": op4_simhash, "op5_langid": op5_langid, "op7_bpe": op7_bpe, "op10_decontaminate": op10_decontaminate}
+    return {"op1_urlfilter": op1_urlfilter, "op2_warc": op2_warc, "op3_linededup": op3_linededup, "op4_simhash": op4_simhash, "op5_langid": op5_langid, "op7_bpe": op7_bpe, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_urlfilter": urlfilter.ORACLE, "op3_linededup": linededup.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+    return {"op1_urlfilter": urlfilter.ORACLE, "op2_warc": warc.ORACLE, "op3_linededup": linededup.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
