@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import bpe, decontaminate, langid, linededup, simhash, urlfilter, warc
+from rivulet.llm import bpe, decontaminate, langid, linededup, qualityrules, simhash, urlfilter, warc
 from rivulet.llm.common import read
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -33,6 +33,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(read(spark, sf_dir, "documents"))
 
 
+def op6_qualityrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qualityrules.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -42,7 +46,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_urlfilter": op1_urlfilter, "op2_warc": op2_warc, "op3_linededup": op3_linededup, "op4_simhash": op4_simhash, "op5_langid": op5_langid, "op7_bpe": op7_bpe, "op10_decontaminate": op10_decontaminate}
+    return {"op1_urlfilter": op1_urlfilter, "op2_warc": op2_warc, "op3_linededup": op3_linededup, "op4_simhash": op4_simhash, "op5_langid": op5_langid, "op6_qualityrules": op6_qualityrules, "op7_bpe": op7_bpe, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
