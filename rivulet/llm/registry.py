@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import bpe, decontaminate, langid, linededup, qualitymil, qualityrules, simhash, urlfilter, warc
+from rivulet.llm import bpe, decontaminate, langid, linededup, qualitymil, qualityrules, simhash, toxicity, urlfilter, warc
 from rivulet.llm.common import read
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -49,8 +49,12 @@ def op8_qualitymil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qualitymil.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_urlfilter": op1_urlfilter, "op2_warc": op2_warc, "op3_linededup": op3_linededup, "op4_simhash": op4_simhash, "op5_langid": op5_langid, "op6_qualityrules": op6_qualityrules, "op7_bpe": op7_bpe, "op8_qualitymil": op8_qualitymil, "op10_decontaminate": op10_decontaminate}
+    return {"op1_urlfilter": op1_urlfilter, "op2_warc": op2_warc, "op3_linededup": op3_linededup, "op4_simhash": op4_simhash, "op5_langid": op5_langid, "op6_qualityrules": op6_qualityrules, "op7_bpe": op7_bpe, "op8_qualitymil": op8_qualitymil, "op9_toxicity": op9_toxicity, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
