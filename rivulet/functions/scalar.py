@@ -23,7 +23,7 @@ def concat(*xs: _C) -> Column:
 
 def strpos(text: _C, part: _C) -> Column:
     """The place of a part, from 1; 0 if it is not there."""
-    return F.locate("", _c(text)) if part == "" else F.call_function("instr", _c(text), _c(part))
+    return F.call_function("instr", _c(text), _c(part))
 
 
 def to_hex(x: _C) -> Column:

@@ -57,7 +57,7 @@ def lookup_join(facts: DataFrame, reference: DataFrame, on: list[tuple[str, str]
     shuffled beyond."""
     if how not in ("inner", "left"):
         raise PlanError(f"a lookup join is inner or left, not {how}")
-    size = int(reference._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(reference._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     match = F.lit(True)
     for x, y in on:
         match = match & (F.col(x) == F.col(y))
