@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import bounded_batches
 
 #: Pre-tokens whose ids a worker remembers, newest; as many older ones are kept beside.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Texts of more characters are matched piece by piece.
 LONG_TEXT = 4_000_000
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -109,23 +109,15 @@ class PerfectHash:
         return -1 - d if d < 0 else _spread1(h & 0xFFFFFFFFFFFFFFFF, d & 0xFFFFFFFF, self.n)
 
 
-def merge(word: bytes, ranks: dict[bytes, int], longest: int, twos: list[int | None]) -> list[int]:
-    """The ids of a pre-token, by merging neighbours of least rank.
-
-    ``following[i]`` is where the piece that starts at byte i ends, -1 once it
-    is part of the one before. A heap entry packs rank, start and end of two
-    neighbours. ``twos`` has the rank of each two bytes.
-    """
+def merge(word: bytes, ranks: dict[bytes, int], longest: int) -> tuple[int, ...]:
+    """The ids of a pre-token, by merging neighbours of least rank."""
     n = len(word)
-    s = n.bit_length()
-    t, m = 2 * s, (1 << s) - 1
-    following, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+    following, before = list(range(1, n + 1)), list(range(-1, n - 1))
     get = ranks.get
-    heap = [(r << t) | (i << s) | (i + 2) for i, (x, y) in enumerate(zip(word, word[1:], strict=False)) if (r := twos[x << 8 | y]) is not None]
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(word[i : i + 2])) is not None]
     heapify(heap)
     while heap:
-        e = heappop(heap)
-        i, end = (e >> s) & m, e & m
+        _, i, end = heappop(heap)
         j = following[i]
         if j < 0 or j >= n or following[j] != end:
             continue  # one of the two has been merged meanwhile
@@ -134,16 +126,16 @@ def merge(word: bytes, ranks: dict[bytes, int], longest: int, twos: list[int | N
             before[end] = i
             e = following[end]
             if e - i <= longest and (r := get(word[i:e])) is not None:
-                heappush(heap, (r << t) | (i << s) | e)
+                heappush(heap, (r, i, e))
         p = before[i]
         if p >= 0 and end - p <= longest and (r := get(word[p:end])) is not None:
-            heappush(heap, (r << t) | (p << s) | end)
+            heappush(heap, (r, p, end))
     out, i = [], 0
     while i < n:
         e = following[i]
         out.append(ranks[word[i:e]])
         i = e
-    return out
+    return tuple(out)
 
 
 #: Equal matches by the standard library, faster, for texts of Latin letters
@@ -164,7 +156,6 @@ class Encoder(dict):
         self.tokens, self.hash = tokens, PerfectHash(shift, slot_key)
         self.ranks = {t: i for i, t in enumerate(tokens)}
         self.longest = max(map(len, tokens), default=0)
-        self.twos = [self.ranks.get(bytes((x, y))) for x in range(256) for y in range(256)]
         self.pattern, self.latin = regex.compile(pattern), _LATIN_FORM.get(pattern)
         self.older: dict[str, bytes] = {}
 
@@ -173,7 +164,7 @@ class Encoder(dict):
         if ids is None:
             raw = piece.encode("utf-8")
             key = self.hash.slot_key[self.hash.slot(raw)]
-            found = (key,) if self.tokens[key] == raw else merge(raw, self.ranks, self.longest, self.twos)
+            found = (key,) if self.tokens[key] == raw else merge(raw, self.ranks, self.longest)
             ids = struct.pack(f"={len(found)}i", *found)
         if len(self) >= REMEMBERED:
             self.older = dict(self)
@@ -223,7 +214,8 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_c
         ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32)))
 
-    return df.withColumn(out_col, ids(F.col(text_col)))
+    # held apart from what is made of the ids, else they would be worked out for each use
+    return df.withColumn(out_col, ids.asNondeterministic()(F.col(text_col)))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
