@@ -443,7 +443,7 @@ def json_functions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "scalar_functions",
     """
-    SELECT p_partkey, concat(p_name, NULL, '-', p_brand) AS name, strpos(p_brand, '#') AS at, lower(to_hex(p_partkey)) AS hexed, gcd(p_partkey, p_size) AS g, lcm(p_partkey, p_size) AS l,
+    SELECT p_partkey, concat(p_name, NULL, '-', p_brand) AS name, strpos(p_brand, '#') AS found_at, lower(to_hex(p_partkey)) AS hexed, gcd(p_partkey, p_size) AS g, lcm(p_partkey, p_size) AS l,
            regexp_replace(p_name, '[aeiou]', '_') AS once, regexp_replace(p_name, '[aeiou]', '_', 'g') AS every, starts_with(p_name, 'small') AS small, CAST(trunc(p_retailprice) AS BIGINT) AS whole,
            array_to_string([p_size, p_size + 1], '-') AS joined, len(generate_series(1, p_size)) AS steps
     FROM part
@@ -452,7 +452,7 @@ def json_functions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return p.select(
-        "p_partkey", scalar.concat("p_name", F.lit(None).cast("string"), F.lit("-"), "p_brand").alias("name"), scalar.strpos("p_brand", F.lit("#")).cast("long").alias("at"), scalar.to_hex("p_partkey").alias("hexed"),
+        "p_partkey", scalar.concat("p_name", F.lit(None).cast("string"), F.lit("-"), "p_brand").alias("name"), scalar.strpos("p_brand", F.lit("#")).cast("long").alias("found_at"), scalar.to_hex("p_partkey").alias("hexed"),
         scalar.gcd("p_partkey", "p_size").alias("g"), scalar.lcm("p_partkey", "p_size").alias("l"), scalar.regexp_replace("p_name", "[aeiou]", "_").alias("once"), scalar.regexp_replace("p_name", "[aeiou]", "_", "g").alias("every"),
         scalar.starts_with("p_name", F.lit("small")).alias("small"), scalar.trunc("p_retailprice").cast("long").alias("whole"), scalar.array_to_string(F.array("p_size", F.col("p_size") + 1), "-").alias("joined"), F.size(scalar.generate_series(1, "p_size")).cast("long").alias("steps"),
     )

@@ -18,7 +18,7 @@ from rivulet.plans.query import Compiled, Compiler
 from rivulet.sources.tables import TIME, load
 from rivulet.streaming import sinks
 from rivulet.streaming.processor import Deployment, deploy
-from rivulet.streaming.updating import updating_aggregate
+from rivulet.streaming.updating import DAY_MS, updating_aggregate
 
 
 @dataclass
@@ -224,7 +224,7 @@ class Session:
             depth += (t.text == "(") - (t.text == ")")
         self._register(compiled.sources, True)
         rows = self.spark.sql(f"SELECT * {compiled.sql[start:end]}")
-        return updating_aggregate(rows, keys, aggs)
+        return updating_aggregate(rows, keys, aggs, None if self.available_now else DAY_MS)
 
     def _job(self, name: str) -> Job:
         if name not in self.jobs:

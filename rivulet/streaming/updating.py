@@ -52,8 +52,11 @@ def _result(state: dict, name: str, fn: str):
     return (min if fn == "min" else max)(map(json.loads, held)) if held else None
 
 
-def updating_aggregate(df: DataFrame, keys: list[str], aggs: list[tuple[str, str, str]], ttl_ms: int = DAY_MS) -> DataFrame:
-    """A changelog stream of ``aggs`` = (output, function, SQL argument) by ``keys``."""
+def updating_aggregate(df: DataFrame, keys: list[str], aggs: list[tuple[str, str, str]], ttl_ms: int | None = DAY_MS) -> DataFrame:
+    """A changelog stream of ``aggs`` = (output, function, SQL argument) by ``keys``.
+
+    Without a time to live (None) keys are kept for good; a query that is to end
+    with its input needs that, as Spark waits for time-outs otherwise."""
     for _, fn, _ in aggs:
         if fn not in FUNCTIONS:
             raise PlanError(f"an updating aggregate cannot retract {fn}")
@@ -92,7 +95,8 @@ def updating_aggregate(df: DataFrame, keys: list[str], aggs: list[tuple[str, str
                     state.remove()
             else:
                 state.update((json.dumps(held),))
-                state.setTimeoutDuration(ttl_ms)
+                if ttl_ms is not None:
+                    state.setTimeoutDuration(ttl_ms)
         out = []
         if before != after:
             if before is not None:
@@ -109,6 +113,6 @@ def updating_aggregate(df: DataFrame, keys: list[str], aggs: list[tuple[str, str
         def step(key, batches, state):  # the constant key stays out of the rows
             return inner((), batches, state)
 
-    changes = grouped.applyInPandasWithState(step, schema, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    changes = grouped.applyInPandasWithState(step, schema, "state string", "append", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
     identity = multi_hash(*keys) if keys else F.unhex(F.lit("0" * 32))
     return changes.withColumn(META, F.struct(F.col("_rv_gone").alias("is_retract"), identity.alias("id"))).drop("_rv_gone")

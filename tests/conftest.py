@@ -1,7 +1,15 @@
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
 
+#: Workers import the library and the classes of test modules.
+_HERE = Path(__file__).resolve().parent
+os.environ["PYTHONPATH"] = os.pathsep.join([str(_HERE.parent), str(_HERE), str(_HERE / "llm"), os.environ.get("PYTHONPATH", "")])
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
