@@ -59,7 +59,8 @@ def encode(raw: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
     if len(raw) >= 3:
         b = raw.astype(np.uint32)
         code = ((b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))) * np.uint32(0x27D4EB2F)
-        slot = passage[:-2] * HASHED + (code >> np.uint32(24)).astype(np.int64) % HASHED
+        within = passage[:-2] == passage[2:]  # else blocks of passages would matter
+        slot = (passage[:-2] * HASHED + (code >> np.uint32(24)).astype(np.int64) % HASHED)[within]
         hashed = np.sqrt(np.bincount(slot, minlength=n * HASHED).reshape(n, HASHED))
         out[:, :HASHED] = hashed / np.maximum(1e-6, np.sqrt((hashed**2).sum(axis=1, keepdims=True)))
     kinds = np.bincount(passage * 7 + _CLASS[raw], minlength=n * 7).reshape(n, 7).astype(np.float64)
