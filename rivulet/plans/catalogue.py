@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions import json as json_functions
-from rivulet.functions import scalar
+from rivulet.functions import scalar, udf
 from rivulet.operators import cdc, joins, over, sets, stateless, windows
 from rivulet.plans.query import Compiler
 from rivulet.sources.formats import decode_json, encode_json
@@ -503,6 +503,27 @@ def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.size("embedding").cast("long").alias("n"), F.array_max("embedding").alias("high"), F.array_min("embedding").alias("low"), F.try_element_at("embedding", F.lit(1)).alias("first"), F.size(F.slice("embedding", 1, 10)).cast("long").alias("ten"))
 
 
+class _Words:
+    """A table function: the words of a name and their places."""
+
+    def eval(self, name: str):
+        for k, w in enumerate(name.split(" ")):
+            yield k, w
+
+
+@register("udf_surface", "SELECT p_brand, k, w, count(*) AS n, max(p_size) - min(p_size) AS span, sum(2 * p_size)::BIGINT AS twice FROM (SELECT *, unnest(generate_series(0, len(string_split(p_name, ' ')) - 1)) AS k, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY ALL")
+def udf_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    udf.register_scalar(spark, "rv_twice", lambda x: 2 * x, "long")
+    udf.register_aggregate(spark, "rv_span", lambda x: int(x.max() - x.min()), "int")
+    udf.register_table(spark, "rv_words", _Words, "k bigint, w string")
+    table(spark, sf_dir, "part").createOrReplaceTempView("rv_part")
+    twice = spark.sql("SELECT p_brand, p_size, k, w, rv_twice(p_size) AS t FROM rv_part, LATERAL rv_words(p_name)")
+    sums = twice.groupBy("p_brand", "k", "w").agg(F.count("*").alias("n"), F.sum("t").alias("twice"))
+    twice.createOrReplaceTempView("rv_twice_part")
+    spans = spark.sql("SELECT p_brand, k, w, rv_span(p_size) AS span FROM rv_twice_part GROUP BY p_brand, k, w")
+    return sums.join(spans, ["p_brand", "k", "w"])
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
