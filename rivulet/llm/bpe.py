@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import re
 import struct
+import threading
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -30,6 +31,9 @@ from rivulet.llm.common import bounded_batches
 
 #: Pre-tokens whose ids a worker remembers, newest; as many older ones are kept beside.
 REMEMBERED = 400_000
+#: Seconds after which a worker that encodes nothing forgets its pre-tokens, so
+#: that it does not hold their memory while other stages run.
+IDLE_SECONDS = 5.0
 #: Texts of more characters are matched piece by piece.
 LONG_TEXT = 4_000_000
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -158,6 +162,19 @@ class Encoder(dict):
         self.longest = max(map(len, tokens), default=0)
         self.pattern, self.latin = regex.compile(pattern), _LATIN_FORM.get(pattern)
         self.older: dict[str, bytes] = {}
+        self.timer: threading.Timer | None = None
+
+    def rest(self) -> None:
+        """Called after each batch: forget all if no other comes soon."""
+        if self.timer is not None:
+            self.timer.cancel()
+        self.timer = threading.Timer(IDLE_SECONDS, self.forget)
+        self.timer.daemon = True
+        self.timer.start()
+
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
@@ -211,6 +228,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_c
     def ids(texts: pa.Array) -> pa.Array:
         encoder = _encoder(tables, pattern)
         parts = [encoder.encode(t.as_py()) for t in texts]
+        encoder.rest()
         ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32)))
 

@@ -42,6 +42,19 @@ def test_long_text_in_pieces(both, monkeypatch):
     assert encoder.encode(text).tolist() == library.encode_ordinary(text)
 
 
+def test_forgets_when_idle(both, monkeypatch):
+    import time
+
+    encoder, library = both
+    monkeypatch.setattr(bpe, "IDLE_SECONDS", 0.05)
+    before = encoder.encode("some text to remember")
+    encoder.rest()
+    encoder.rest()
+    time.sleep(0.5)
+    assert not encoder and not encoder.older
+    assert encoder.encode("some text to remember").tolist() == before.tolist()
+
+
 def test_query_rows(spark, both):
     _, library = both
     df = spark.createDataFrame([(k, t, "other") for k, t in enumerate(TEXTS)] + [(0, "", "again")], "doc_id long, text string, ids string")
