@@ -127,7 +127,8 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     ids = labelled.select(F.col(lang_col).alias("_rv_lang"), F.col(id_col).alias("_rv_id"), F.xxhash64(F.col(id_col).cast("string")).alias("_rv_h"))
     # the rows of least hash of each language: limited in every partition before the shuffle
     chosen = ids.withColumn("_rv_r", rank).where(F.col("_rv_r") <= PER_LANGUAGE).select("_rv_id").distinct()
-    sample = labelled.select(F.col(id_col).alias("_rv_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(chosen, "_rv_id", "left_semi").select("lang", "text")
+    # ids alone, PER_LANGUAGE for each of at most LANGUAGES: few enough to send to all
+    sample = labelled.select(F.col(id_col).alias("_rv_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen.limit(PER_LANGUAGE * LANGUAGES)), "_rv_id", "left_semi").select("lang", "text")
 
     def count(batches):
         total: dict[str, Counter] = {}
