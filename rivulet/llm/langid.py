@@ -31,8 +31,10 @@ ORDER, DEPTH, PER_LANGUAGE = 3, 400, 1500
 LANGUAGES = 1000
 BLOCK = 1 << 19
 UNKNOWN = "und"
-#: In the pipeline: a text whose score is under this is rejected.
-REJECT_BELOW = 0.05
+#: In the pipeline: a text is rejected if its score is under this share of what
+#: all but a hundredth of the learning rows reach, or under the cap if that is
+#: less (few learning rows fit their own profiles too well).
+REJECT_QUANTILE, REJECT_SHARE, REJECT_CAP = 0.01, 0.6, 1 / 3
 _SPACE = 0x20
 _FOLD: list[np.ndarray] = []
 
@@ -119,16 +121,21 @@ class Profiles:
         return self.names[best], float(1 - far[best] / (self.depth * len(own)))
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Profiles:
-    """Profiles from the rows of ``docs`` whose language is known."""
-    bounded_batches(docs.sparkSession)
+def _sample(docs: DataFrame, lang_col: str, text_col: str, id_col: str) -> DataFrame:
+    """lang and text of the rows that profiles are learned from."""
     rank = F.row_number().over(W.partitionBy("_rv_lang").orderBy("_rv_h", "_rv_id"))
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     ids = labelled.select(F.col(lang_col).alias("_rv_lang"), F.col(id_col).alias("_rv_id"), F.xxhash64(F.col(id_col).cast("string")).alias("_rv_h"))
     # the rows of least hash of each language: limited in every partition before the shuffle
     chosen = ids.withColumn("_rv_r", rank).where(F.col("_rv_r") <= PER_LANGUAGE).select("_rv_id").distinct()
     # ids alone, PER_LANGUAGE for each of at most LANGUAGES: few enough to send to all
-    sample = labelled.select(F.col(id_col).alias("_rv_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen.limit(PER_LANGUAGE * LANGUAGES)), "_rv_id", "left_semi").select("lang", "text")
+    return labelled.select(F.col(id_col).alias("_rv_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen.limit(PER_LANGUAGE * LANGUAGES)), "_rv_id", "left_semi").select("lang", "text")
+
+
+def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Profiles:
+    """Profiles from the rows of ``docs`` whose language is known."""
+    bounded_batches(docs.sparkSession)
+    sample = _sample(docs, lang_col, text_col, id_col)
 
     def count(batches):
         total: dict[str, Counter] = {}
@@ -165,6 +172,14 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", out: t
     return docs.withColumn(tmp, predict(F.col(text_col))).withColumns({out[0]: F.col(f"{tmp}.lang"), out[1]: F.col(f"{tmp}.score")}).drop(tmp)
 
 
+def reject_level(docs: DataFrame, profiles: Profiles, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> float:
+    """The score under which a text is like no language of the profiles, from
+    the scores of the rows of ``docs`` that they are learned from."""
+    told = identify(_sample(docs, lang_col, text_col, id_col), profiles, out=("_rv_lang", "_rv_score")).where(F.col("_rv_lang") != UNKNOWN)
+    low = told.agg(F.percentile("_rv_score", F.lit(REJECT_QUANTILE))).first()[0]
+    return min(REJECT_CAP, REJECT_SHARE * low) if low is not None else 0.0
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that nothing is learned from."""
     return F.coalesce(id_bucket(doc_id, 4) == 2, F.lit(False))

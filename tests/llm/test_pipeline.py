@@ -1,4 +1,6 @@
 import os
+import random
+import string
 
 import pytest
 
@@ -21,3 +23,24 @@ def test_stages(spark):
         now = following
     done = corpus_pipeline.STAGES[-1][1](spark, now, SF)
     assert done.where("not round_trip").count() == 0 and done.count() == now.count()
+
+
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_language_stage_rejects_what_is_no_known_language(spark):
+    """Foreign text in Latin letters, random letters, hexadecimal and base64 go; documents stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = random.Random(3)
+    noise = [" ".join("".join(r.choice(letters) for _ in range(r.randint(2, 10))) for _ in range(200)) for letters in (string.ascii_lowercase, "0123456789abcdef", string.ascii_letters + string.digits + "+/")]
+    odd = [(10**9 + k, t, None, None, len(t)) for k, t in enumerate([*FOREIGN, *noise])]
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(odd, docs.schema)), "").select("doc_id").collect()}
+    assert not [t for i, t, *_ in odd if i in kept]
+    with_letters = {r.doc_id for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
+    assert kept == with_letters
