@@ -92,6 +92,21 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     return docs.join(named.select("fingerprint", "component_id"), "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of ``df`` for each component: that of least id (null as greatest),
+    then of least hash of the text. Of equal rows one stays, whichever."""
+    d, t = F.col(id_col), F.col(text_col)
+    keys = {"_rv_k1": F.xxhash64(d.cast("string"), d.isNull()), "_rv_k2": F.xxhash64(F.coalesce(t, F.lit("")))}
+    own = df.select(d.isNull().alias("_rv_null"), d.alias("_rv_id"), keys["_rv_k2"].alias("_rv_k2"), keys["_rv_k1"].alias("_rv_k1"), t.alias("_rv_text"))
+    prints = stored(with_fingerprint(own, "_rv_text", "fingerprint", shingle).drop("_rv_text"), "prints")
+    first = prints.groupBy("fingerprint").agg(F.min(F.struct("_rv_null", "_rv_id", "_rv_k2", "_rv_k1")).alias("_rv_first"))
+    roots = connected_components(links(prints.select("fingerprint").distinct(), radius))
+    joined = first.join(roots, first.fingerprint == roots.node, "left").select(F.coalesce("root", "fingerprint").alias("_rv_root"), "_rv_first")
+    chosen = joined.groupBy("_rv_root").agg(F.min("_rv_first").alias("f")).select("f._rv_k1", "f._rv_k2")
+    kept = df.withColumns(keys).join(chosen, ["_rv_k1", "_rv_k2"], "left_semi")
+    return kept.dropDuplicates(["_rv_k1", "_rv_k2"]).select(*df.columns)
+
+
 def digest(df: DataFrame) -> DataFrame:
     """The query's rows: doc_id, fingerprint (16 hex digits), component_id."""
     return components(df).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

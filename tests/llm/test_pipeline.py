@@ -44,3 +44,14 @@ def test_language_stage_rejects_what_is_no_known_language(spark):
     assert not [t for i, t, *_ in odd if i in kept]
     with_letters = {r.doc_id for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
     assert kept == with_letters
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Rows without an id, and repeated rows, are no exception."""
+    a, b = (" ".join(f"{w}{k}" for k in range(40)) for w in ("a", "b"))
+    rows = [(None, a), (None, a), (7, a), (7, a), (3, a), (3, a), (None, b), (None, b), (None, b), (None, None), (None, ""), (9, "other words than those"), (9, b + " " + a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert got == sorted([(3, a), (0, b), (0, ""), (9, "other words than those"), (9, b + " " + a)])
