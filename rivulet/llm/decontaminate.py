@@ -73,7 +73,7 @@ def postings(docs: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, items: DataFrame, length: int = WINDOW, slop: int = 0) -> tuple[DataFrame, DataFrame]:
     """Where windows occur in ``keyed`` documents: (k1, k2, window_id, start,
     size, exact), and the (window_id, item) table. ``exact`` tells a phrase from
-    a proximity match."""
+    a proximity match, whose window may reach ``slop`` words beyond the text."""
     terms, of_item = windows(items, length)
     vocabulary = stored(terms.select("term").distinct(), "vocabulary")
     n_terms, n_offsets = vocabulary.count(), terms.count()
@@ -92,7 +92,7 @@ def matches(docs: DataFrame, items: DataFrame, length: int = WINDOW, slop: int =
     begun = (
         index.join(_small(lead, n_offsets), "term")
         .select("k1", "k2", "window_id", "size", (F.col("pos") - F.col("offset")).alias("start"), bit(F.col("offset")).alias("bit"))
-        .where("start >= 0")
+        .where(F.col("start") >= -slop)  # words off their place may come before the window's start
         .groupBy("k1", "k2", "window_id", "size", "start")
         .agg(F.bit_or("bit").alias("bits"))
         .where(F.bit_count("bits") == F.least(F.col("size"), F.lit(LEADING if slop == 0 else 1)))
@@ -122,7 +122,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     own = keyed(docs, id_col, text_col)
     found, of_item = matches(own, items, length, slop)
     found = stored(found, "matches")
-    hit = found.select("k1", "k2", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("pos")).distinct().groupBy("k1", "k2").agg(F.count("*").alias("n_hit"))
+    first, last, placed = F.col("start"), F.col("start") + F.col("size") - 1, found
+    if slop:  # within the text
+        placed = found.join(own.select("k1", "k2", F.size(words(F.col("text"))).alias("n")).distinct(), ["k1", "k2"])
+        first, last = F.greatest(first, F.lit(0)), F.least(last, F.col("n") - 1)
+    hit = placed.select("k1", "k2", F.explode(F.sequence(first, last)).alias("pos")).distinct().groupBy("k1", "k2").agg(F.count("*").alias("n_hit"))
     named = found.select("k1", "k2", "window_id").distinct().join(of_item, "window_id").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
     return (
         own.select("doc_id", "k1", "k2", F.size(words(F.col("text"))).cast("long").alias("n_words"))

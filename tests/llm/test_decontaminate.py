@@ -75,3 +75,11 @@ def test_proximity(spark):
     exact, _ = D.matches(D.keyed(docs), bench)
     assert [r.doc_id for r in exact.join(names, ["k1", "k2"]).select("doc_id").collect()] == [2]
     assert exact.where(~F.col("exact")).count() == 0
+
+
+def test_proximity_at_the_ends(spark):
+    """The rarest word (c) before its place at the start of a text, or after it at the end."""
+    docs = spark.createDataFrame([(1, "a c b d"), (2, "x a c b d"), (3, "a b d c"), (4, "a b d"), (5, "c a b d")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
+    rows = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in D.contamination(docs, bench, slop=2).collect()}
+    assert rows == {1: (4, 3, ["1"]), 2: (5, 4, ["1"]), 3: (4, 3, ["1"]), 4: (3, 0, []), 5: (4, 0, [])}
