@@ -4,9 +4,10 @@ A document is a bag of passages of ``PASSAGE`` words. Each passage is encoded:
 hashed character trigrams and shape statistics, then one learned hidden layer.
 Gated attention weighs the passages (tanh gate times sigmoid gate), the weights
 being learned from document labels alone, and the weighted sum of the encoded
-passages is scored by a logistic output. Trained with Adam on at most
-``SAMPLE`` labelled rows, those of least hash of the id, whose crc32 of the id
-modulo 5 is not 0.
+passages is scored by a logistic output. Trained with Adam on all passages of at
+most ``SAMPLE`` labelled rows, those of least hash of the id, whose crc32 of the
+id modulo 5 is not 0; rows that would take the passages beyond
+``SAMPLE_PASSAGES`` are left out whole.
 
 Scoring streams over a document's passages with a running, rescaled sum, so a
 very long text is taken whole in bounded memory. A null or empty text is one
@@ -16,22 +17,24 @@ equal scores.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import bounded_batches, id_bucket
+from rivulet.llm.common import bounded_batches, id_bucket, stored
 
-#: Labelled rows trained on, at most, and passages of one of them, spread evenly.
-SAMPLE, TRAIN_PASSAGES = 4000, 24
+#: Labelled rows trained on, at most, and passages of all of them.
+SAMPLE, SAMPLE_PASSAGES = 4000, 100_000
 PASSAGE = 96
 #: Hashed trigram features, shape features, hidden units, attention units.
 HASHED, SHAPE, HIDDEN, GATE = 256, 8, 24, 12
 EPOCHS, RATE, BATCH, DECAY = 30, 0.01, 64, 1e-4
 THRESHOLD = 0.3
-#: Passages encoded at once.
-BLOCK = 512
+#: Passages encoded at once, and passages multiplied at once in training.
+BLOCK, PART = 512, 8192
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _CLASS = np.zeros(256, np.int64)  # 1 lower, 2 upper, 3 digit, 4 symbol, 5 other punctuation, 6 above ASCII, 0 space
@@ -73,14 +76,33 @@ def encode(raw: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def encoded(text: str | None, most: int | None = None) -> np.ndarray:
+def blocks(text: str | None) -> Iterator[np.ndarray]:
+    """Features of all the text's passages, ``BLOCK`` passages at a time."""
     raw, passage = passages(text)
     n = int(passage[-1]) + 1 if len(passage) else 1
-    if most and n > most:
-        pick = np.unique(np.linspace(0, n - 1, most).astype(int))
-        inside = np.isin(passage, pick)
-        raw, passage, n = raw[inside], np.searchsorted(pick, passage[inside]), len(pick)
-    return encode(raw, passage, n)
+    for at in range(0, n, BLOCK):
+        m = min(BLOCK, n - at)
+        lo, hi = np.searchsorted(passage, [at, at + m])
+        yield encode(raw[lo:hi], passage[lo:hi] - at, m)
+
+
+def encoded(text: str | None) -> bytes | None:
+    """All the text's passages in 16 bits; nothing if they are more than a model is trained on."""
+    n, parts = 0, []
+    for x in blocks(text):
+        n += len(x)
+        if n > SAMPLE_PASSAGES:
+            return None
+        parts.append(x.astype(np.float16).tobytes())
+    return b"".join(parts)
+
+
+def _parts(bags: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """The passages of all bags in order, at most ``PART`` at a time."""
+    if sum(map(len, bags)) <= PART:
+        yield np.concatenate(bags)
+    else:
+        yield from (bag[at : at + PART] for bag in bags for at in range(0, len(bag), PART))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -111,8 +133,7 @@ class Model:
         p = self.p
         sizes = np.array([len(b) for b in bags])
         at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        x = (np.concatenate(bags) - self.mean) / self.scale
-        h = np.tanh(x @ p["W"] + p["b"])
+        h = np.concatenate([self.hidden(x) for x in _parts(bags)])
         t, s, e = self.attention(h)
         e = np.exp(e - np.repeat(np.maximum.reduceat(e, at), sizes))
         weight = e / np.repeat(np.add.reduceat(e, at), sizes)
@@ -123,12 +144,16 @@ class Model:
         d_e = weight * (d_weight - np.repeat(np.add.reduceat(weight * d_weight, at), sizes))
         d_t, d_s = d_e[:, None] * p["a"] * s * (1 - t**2), d_e[:, None] * p["a"] * t * s * (1 - s)
         d_h = (weight[:, None] * d_z + d_t @ p["V"].T + d_s @ p["U"].T) * (1 - h**2)
-        return {"W": x.T @ d_h + DECAY * p["W"], "b": d_h.sum(axis=0), "V": h.T @ d_t, "U": h.T @ d_s, "a": ((t * s) * d_e[:, None]).sum(axis=0), "w": z.T @ d_out + DECAY * p["w"], "c": np.array([d_out.sum()])}
+        d_W, done = DECAY * p["W"], 0
+        for x in _parts(bags):
+            d_W = d_W + ((x - self.mean) / self.scale).T @ d_h[done : done + len(x)]
+            done += len(x)
+        return {"W": d_W, "b": d_h.sum(axis=0), "V": h.T @ d_t, "U": h.T @ d_s, "a": ((t * s) * d_e[:, None]).sum(axis=0), "w": z.T @ d_out + DECAY * p["w"], "c": np.array([d_out.sum()])}
 
     def fit(self, bags: list[np.ndarray], y: np.ndarray, seed: int = 7) -> None:
-        every = np.concatenate(bags)
-        self.mean, self.scale = every.mean(axis=0), every.std(axis=0) + 0.02
-        del every
+        n = sum(map(len, bags))
+        self.mean = sum(x.sum(axis=0, dtype=np.float64) for x in _parts(bags)) / n
+        self.scale = np.sqrt(sum(((x - self.mean) ** 2).sum(axis=0) for x in _parts(bags)) / n) + 0.02
         g = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         step = 0
@@ -145,13 +170,9 @@ class Model:
 
     def score(self, text: str | None) -> float:
         """The probability of label 1; passages in blocks, the softmax rescaled as it goes."""
-        raw, passage = passages(text)
-        n = int(passage[-1]) + 1 if len(passage) else 1
         top, total, z = -np.inf, 0.0, np.zeros(HIDDEN)
-        for at in range(0, n, BLOCK):
-            m = min(BLOCK, n - at)
-            lo, hi = np.searchsorted(passage, [at, at + m])
-            h = self.hidden(encode(raw[lo:hi], passage[lo:hi] - at, m))
+        for x in blocks(text):
+            h = self.hidden(x)
             e = self.attention(h)[2]
             peak = max(top, float(e.max()))
             keep = np.exp(top - peak) if np.isfinite(top) else 0.0
@@ -174,13 +195,22 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     @F.pandas_udf("binary")
     def bag(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: encoded(t, TRAIN_PASSAGES).astype(np.float16).tobytes())
-
-    rows = own.select("_rv_hash", "_rv_y", bag("_rv_text").alias("x")).toPandas().sort_values(["_rv_hash", "_rv_y"], kind="stable")
+        return texts.map(encoded)
+
+    key = ["_rv_hash", "_rv_y", "_rv_x"]
+    bags = stored(own.select("_rv_hash", "_rv_y", bag("_rv_text").alias("x")).where("x is not null").withColumn("_rv_x", F.xxhash64("x")), "bags")
+    sizes = bags.groupBy(*key).agg(F.count("*").alias("c"), F.first(F.octet_length("x")).alias("size")).orderBy(*key).limit(SAMPLE).collect()
+    fit, n_rows, n_passages = [], 0, 0
+    for r in sizes:
+        more = r["c"] * (r["size"] // (2 * (HASHED + SHAPE)))
+        if n_rows + r["c"] <= SAMPLE and n_passages + more <= SAMPLE_PASSAGES:
+            fit.append(tuple(r[k] for k in key))
+            n_rows, n_passages = n_rows + r["c"], n_passages + more
     model = Model()
-    if len(rows):
-        bags = [np.frombuffer(x, np.float16).reshape(-1, HASHED + SHAPE).astype(np.float32) for x in rows["x"]]
-        model.fit(bags, rows["_rv_y"].to_numpy(np.float64))
+    if fit:
+        taken = docs.sparkSession.createDataFrame(fit, bags.select(*key).schema)
+        rows = bags.join(F.broadcast(taken), key, "left_semi").toPandas().sort_values(key, kind="stable")
+        model.fit([np.frombuffer(x, np.float16).reshape(-1, HASHED + SHAPE) for x in rows["x"]], rows["_rv_y"].to_numpy(np.float64))
     return model
 
 

@@ -155,3 +155,27 @@ def test_label_model_discounts_copies():
 def test_registry():
     assert [n.split("_")[0] for n in registry.queries()] == [f"op{k}" for k in range(1, 11)]
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_mil_trains_on_all_passages(spark, monkeypatch):
+    """Bags are whole; if they are too large together, there are fewer of them."""
+    docs = spark.createDataFrame([(i, "word " * (qualitymil.PASSAGE * (100 + i))) for i in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    want = [100 + i for i in range(12) if bucket(i, 5) != 0]
+    seen = []
+    monkeypatch.setattr(qualitymil.Model, "fit", lambda self, bags, y, seed=7: seen.append(sorted(map(len, bags))))
+    qualitymil.learn(docs, labels)
+    assert seen.pop() == want and len(want) > 3
+    monkeypatch.setattr(qualitymil, "SAMPLE_PASSAGES", 350)
+    qualitymil.learn(docs, labels)
+    assert len(seen[0]) == 3 and set(seen[0]) <= set(want)
+
+
+def test_mil_gradients_in_parts(monkeypatch):
+    r = np.random.default_rng(2)
+    model = qualitymil.Model()
+    bags, y = [r.normal(size=(k, qualitymil.HASHED + qualitymil.SHAPE)) for k in (5, 1, 7)], np.array([1.0, 0, 1])
+    whole = model.gradients(bags, y)
+    monkeypatch.setattr(qualitymil, "PART", 3)
+    parts = model.gradients(bags, y)
+    assert all(np.allclose(whole[k], parts[k]) for k in whole)
