@@ -83,3 +83,63 @@ def test_proximity_at_the_ends(spark):
     bench = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
     rows = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in D.contamination(docs, bench, slop=2).collect()}
     assert rows == {1: (4, 3, ["1"]), 2: (5, 4, ["1"]), 3: (4, 3, ["1"]), 4: (3, 0, []), 5: (4, 0, [])}
+
+
+def brute_near(text, items, slop, counts):
+    """Positions in, and items with, windows whose rarest word stands at its place
+    and all others at most ``slop`` words off theirs."""
+    own, hit, found = words(text), set(), set()
+    for item, t in items:
+        w = words(t)
+        size = min(13, len(w))
+        for a in range(len(w) - size + 1 if size else 0):
+            window = w[a : a + size]
+            anchor = min(range(size), key=lambda k: (counts.get(window[k], 0), window[k], k))
+            for p in range(len(own)):
+                b = p - anchor
+                near = lambda k: range(max(0, b + k - slop), b + k + slop + 1) if k != anchor else [p]  # noqa: B023, E731
+                if all(window[k] in (own[x] for x in near(k) if x < len(own)) for k in range(size)):
+                    hit |= set(range(max(0, b), min(b + size, len(own))))
+                    found.add(str(item))
+    return len(hit), sorted(found)
+
+
+def test_proximity_equals_brute_force(spark):
+    """The query's further columns; texts with words left out, put in and exchanged."""
+    for seed in (4, 5):
+        docs, items = case(seed)
+        r = random.Random(seed)
+        for d in range(100, 130):
+            w = words(r.choice(items)[1])
+            for _ in range(r.randrange(3)):
+                if len(w) > 2:
+                    k = r.randrange(len(w) - 1)
+                    kind = r.randrange(3)
+                    w[k : k + 2] = [w[k + 1], w[k]] if kind == 0 else [w[k], "new", w[k + 1]] if kind == 1 else [w[k]]
+            docs[d] = " ".join(["before"] * r.randrange(3) + w)
+        counts = {}
+        for t in docs.values():
+            for x in words(t):
+                counts[x] = counts.get(x, 0) + 1
+        df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        more = 0
+        for row in D.digest(df, bench).collect():
+            exact = brute(docs[row.doc_id], items)
+            n, found = brute_near(docs[row.doc_id], items, D.SLOP, counts)
+            assert (row.n_words, row.n_hit, row.n_items, row.items_sha256, row.contaminated) == exact
+            assert (row.n_near, row.n_near_items) == (n, len(found)), row
+            more += n > exact[1]
+        assert more > 5
+
+
+def test_any_window(spark):
+    """One whole phrase in a long text, however long; short items by their share."""
+    phrase = " ".join(f"p{k}" for k in range(15))
+    filler = " ".join(f"f{k}" for k in range(30_000))
+    rows = [(1, f"{filler} {phrase} {filler}"), (2, filler), (3, f"{filler} short item {filler}"), (4, "short item"), (None, f"{phrase} {filler}"), (6, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "key long, body string, k1 int, items string")
+    bench = spark.createDataFrame([(1, phrase), (2, "short item"), (3, None)], "item_id long, text string")
+    kept = D.remove_contaminated(docs, bench, "key", "body", any_window=True)
+    assert kept.columns == docs.columns and sorted(r.key for r in kept.collect()) == [2, 3, 6, 7]
+    assert sorted(r.key or 0 for r in D.remove_contaminated(docs, bench, "key", "body").collect()) == [0, 1, 2, 3, 6, 7]
