@@ -17,8 +17,9 @@ from __future__ import annotations
 
 import base64
 import re
-import struct
 import threading
+import time
+from array import array
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -29,13 +30,16 @@ from pyspark.sql import functions as F
 
 from rivulet.llm.common import bounded_batches
 
-#: Pre-tokens whose ids a worker remembers, newest; as many older ones are kept beside.
-REMEMBERED = 400_000
+#: Pre-tokens whose ids a worker remembers, newest; as many older ones are kept
+#: beside. Some 170 bytes each.
+REMEMBERED = 600_000
 #: Seconds after which a worker that encodes nothing forgets its pre-tokens, so
 #: that it does not hold their memory while other stages run.
 IDLE_SECONDS = 5.0
 #: Texts of more characters are matched piece by piece.
 LONG_TEXT = 4_000_000
+#: Ids decoded at once.
+PART = 1 << 16
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -162,15 +166,22 @@ class Encoder(dict):
         self.longest = max(map(len, tokens), default=0)
         self.pattern, self.latin = regex.compile(pattern), _LATIN_FORM.get(pattern)
         self.older: dict[str, bytes] = {}
-        self.timer: threading.Timer | None = None
+        self.busy, self.used = False, 0.0
+        self.watcher: threading.Thread | None = None
 
     def rest(self) -> None:
         """Called after each batch: forget all if no other comes soon."""
-        if self.timer is not None:
-            self.timer.cancel()
-        self.timer = threading.Timer(IDLE_SECONDS, self.forget)
-        self.timer.daemon = True
-        self.timer.start()
+        self.busy, self.used = False, time.monotonic()
+        if self.watcher is None:
+            self.watcher = threading.Thread(target=self._watch, daemon=True)
+            self.watcher.start()
+
+    def _watch(self) -> None:
+        """Forget all once no batch has come for a while; one thread serves many batches."""
+        while self.busy or time.monotonic() - self.used < IDLE_SECONDS:
+            time.sleep(IDLE_SECONDS)
+        self.watcher = None
+        self.forget()
 
     def forget(self) -> None:
         self.older = {}
@@ -181,8 +192,7 @@ class Encoder(dict):
         if ids is None:
             raw = piece.encode("utf-8")
             key = self.hash.slot_key[self.hash.slot(raw)]
-            found = (key,) if self.tokens[key] == raw else merge(raw, self.ranks, self.longest)
-            ids = struct.pack(f"={len(found)}i", *found)
+            ids = array("i", (key,) if self.tokens[key] == raw else merge(raw, self.ranks, self.longest)).tobytes()
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
@@ -206,7 +216,7 @@ _ENCODERS: dict[tuple, Encoder] = {}
 
 def _encoder(tables, pattern: str) -> Encoder:
     """This worker's encoder, made once from the broadcast tables."""
-    key = (tables.id if hasattr(tables, "id") else id(tables), pattern)
+    key = (tables, pattern)  # a worker has one object for each broadcast
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(*tables.value, pattern)
@@ -227,6 +237,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_c
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         encoder = _encoder(tables, pattern)
+        encoder.busy = True
         parts = [encoder.encode(t.as_py()) for t in texts]
         encoder.rest()
         ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
@@ -236,6 +247,36 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_c
     return df.withColumn(out_col, ids.asNondeterministic()(F.col(text_col)))
 
 
+class Decoder:
+    """The bytes of ids, all tokens lying one after another in one array."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        parts = []
+        for at in range(0, len(ids), PART):
+            own = ids[at : at + PART]
+            sizes = self.sizes[own]
+            ends = np.cumsum(sizes)
+            place = np.repeat(self.starts[own] - (ends - sizes), sizes)
+            place += np.arange(len(place))
+            parts.append(self.bytes[place])
+        return np.concatenate(parts) if parts else np.empty(0, np.uint8)
+
+
+_DECODERS: dict[object, Decoder] = {}
+
+
+def _decoder(tokens) -> Decoder:
+    if tokens not in _DECODERS:
+        _DECODERS.clear()
+        _DECODERS[tokens] = Decoder(tokens.value)
+    return _DECODERS[tokens]
+
+
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``df`` with the bytes that ``ids_col`` stands for."""
     bounded_batches(df.sparkSession)
@@ -243,8 +284,12 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
 
     @F.arrow_udf("binary")
     def decoded(ids: pa.Array) -> pa.Array:
-        get = tokens.value.__getitem__
-        return pa.array([b"".join(map(get, x.values.tolist())) if x.is_valid else b"" for x in ids], pa.binary())
+        decoder = _decoder(tokens)
+        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)  # null lists have none
+        counts = np.asarray(ids.value_lengths().fill_null(0), np.int64)
+        raw = decoder.decode(flat)
+        ends = np.concatenate(([0], np.cumsum(decoder.sizes[flat])))[np.concatenate(([0], np.cumsum(counts)))]
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
 
     return df.withColumn(out_col, decoded(F.col(ids_col)))
 
