@@ -7,16 +7,20 @@ distance: for each, how far its rank is from its rank in the profile, or
 ``DEPTH`` if the profile lacks it. The nearest profile wins; equal distances go
 to the language first in alphabet.
 
-Profiles are learned from at most ``PER_LANGUAGE`` texts of each language,
-those of least hash of the id: a documented, bounded sample. A text without any
-letter, and null, is ``und`` with score 0. The score is how much nearer the
-best profile is than no match at all, 0 to 1. Texts are taken whole, in blocks
-whose counts are added up. Repeated rows get equal results.
+Profiles are learned from at most ``PER_LANGUAGE`` ids of each language, those
+of least hash of the id: a documented, bounded sample. Their hashes are first
+counted in classes of a logarithmic scale, so that only the few ids in the
+classes that can matter are ranked, however many rows a language has. A text
+without any letter, and null, is ``und`` with score 0. The score is how much
+nearer the best profile is than no match at all, 0 to 1. Texts are taken whole,
+in blocks whose counts are added up; an n-gram belongs to the block it starts
+in. Repeated rows get equal results; without any labelled row all is ``und``.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,9 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import bounded_batches, id_bucket
+from rivulet.llm.common import bounded_batches, id_bucket, stored
 
 ORDER, DEPTH, PER_LANGUAGE = 3, 400, 1500
+#: Classes of hashes to a doubling.
+CLASSES = 64
 #: Languages a model may have at most; their profiles are broadcast.
 LANGUAGES = 1000
 BLOCK = 1 << 19
@@ -65,31 +71,33 @@ def _letters(text: str) -> np.ndarray:
     return out[~(space & np.concatenate(([True], space[:-1])))]
 
 
-def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram codes (21 bits a character) and how often each occurs."""
-    grams, power = [codes], codes
+def _counted(codes: np.ndarray, starts: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """n-gram codes (21 bits a character) and how often each occurs; only those
+    that start at one of the first ``starts`` characters."""
+    grams, power = [codes[:starts]], codes
     for k in range(1, ORDER):
         power = (power[:-1] << 21) | codes[k:]
-        grams.append(power)
+        grams.append(power[:starts])
     return np.unique(np.concatenate(grams), return_counts=True)
 
 
+def _blocks(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The counts of each block of a long text."""
+    for at in range(0, len(codes), BLOCK):
+        yield _counted(codes[at : at + BLOCK + ORDER - 1], BLOCK)
+
+
 def frequent(text: str | None, depth: int = DEPTH) -> np.ndarray:
     """The codes of the text's most frequent n-grams, in order; empty if it has no letter."""
     codes = _letters(text) if text else np.empty(0, np.int64)
     if not (codes != _SPACE).any():
         return np.empty(0, np.int64)
-    keys, counts = _counted(codes[: BLOCK + ORDER - 1]) if len(codes) > BLOCK else _counted(codes)
-    if len(codes) > BLOCK:  # by blocks; an n-gram belongs to the block it starts in
+    if len(codes) <= BLOCK:
+        keys, counts = _counted(codes)
+    else:
         total: Counter = Counter()
-        for at in range(0, len(codes), BLOCK):
-            for k in range(1, ORDER + 1):
-                part = codes[at : at + BLOCK + k - 1]
-                if len(part) >= k:
-                    power = part[: len(part) - k + 1]
-                    for j in range(1, k):
-                        power = (power << 21) | part[j : len(part) - k + 1 + j]
-                    total.update(dict(zip(*(x.tolist() for x in np.unique(power, return_counts=True)), strict=True)))
+        for keys, counts in _blocks(codes):
+            total.update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
         keys, counts = np.array(list(total), np.int64), np.array(list(total.values()), np.int64)
     real = keys != _SPACE
     keys, counts = keys[real], counts[real]
@@ -123,13 +131,20 @@ class Profiles:
 
 def _sample(docs: DataFrame, lang_col: str, text_col: str, id_col: str) -> DataFrame:
     """lang and text of the rows that profiles are learned from."""
-    rank = F.row_number().over(W.partitionBy("_rv_lang").orderBy("_rv_h", "_rv_id"))
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = labelled.select(F.col(lang_col).alias("_rv_lang"), F.col(id_col).alias("_rv_id"), F.xxhash64(F.col(id_col).cast("string")).alias("_rv_h"))
-    # the rows of least hash of each language: limited in every partition before the shuffle
-    chosen = ids.withColumn("_rv_r", rank).where(F.col("_rv_r") <= PER_LANGUAGE).select("_rv_id").distinct()
+    hashed = F.xxhash64(F.col(id_col).cast("string")).bitwiseAND(F.lit((1 << 63) - 1))
+    ids = labelled.select(F.col(lang_col).alias("_rv_lang"), F.col(id_col).alias("_rv_id"), hashed.alias("_rv_h")).withColumn("_rv_class", F.floor(F.log2(F.col("_rv_h") + F.lit(1.0)) * CLASSES).cast("int"))
+    # at most 63 * CLASSES rows a language, whatever its size
+    classes = ids.groupBy("_rv_lang", "_rv_class").agg(F.count("*").alias("n"))
+    below = F.sum("n").over(W.partitionBy("_rv_lang").orderBy("_rv_class")) - F.col("n")
+    upto = stored(classes.withColumn("below", below).where(F.col("below") < PER_LANGUAGE).groupBy("_rv_lang").agg(F.max("_rv_class").alias("_rv_last")), "classes")
+    if (n := upto.count()) > LANGUAGES:
+        raise ValueError(f"{n} languages; at most {LANGUAGES} can be learned")
+    few = ids.join(F.broadcast(upto), "_rv_lang").where("_rv_class <= _rv_last")
+    rank = F.row_number().over(W.partitionBy("_rv_lang").orderBy("_rv_h", "_rv_id"))
+    chosen = few.withColumn("_rv_r", rank).where(F.col("_rv_r") <= PER_LANGUAGE).select("_rv_id").distinct()
     # ids alone, PER_LANGUAGE for each of at most LANGUAGES: few enough to send to all
-    return labelled.select(F.col(id_col).alias("_rv_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen.limit(PER_LANGUAGE * LANGUAGES)), "_rv_id", "left_semi").select("lang", "text")
+    return labelled.select(F.col(id_col).alias("_rv_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_rv_id", "left_semi").select("lang", "text")
 
 
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Profiles:
@@ -141,26 +156,22 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
         total: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                codes = _letters(text)
-                for at in range(0, len(codes), BLOCK):
-                    keys, counts = _counted(codes[at : at + BLOCK])
+                for keys, counts in _blocks(_letters(text)):
                     total.setdefault(lang, Counter()).update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
         rows = [(lang, k, c) for lang, grams in total.items() for k, c in grams.items() if k != _SPACE]
         yield pd.DataFrame(rows, columns=["lang", "gram", "n"])
 
     grams = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = grams.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= DEPTH)
-    rows = top.select("lang", "gram", "r").limit(LANGUAGES * DEPTH).collect()  # at most so many by the limit on languages
     ranked: dict[str, list[int]] = {}
-    for lang, gram, _ in sorted(rows, key=lambda x: (x[0], x[2])):
+    for lang, gram, _ in sorted(top.select("lang", "gram", "r").collect(), key=lambda x: (x[0], x[2])):  # DEPTH for each of at most LANGUAGES
         ranked.setdefault(lang, []).append(gram)
-    if len(ranked) >= LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
     return Profiles(ranked)
 
 
 def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` with the predicted language and its score."""
+    """``docs`` with the predicted language and its score; columns of the names
+    in ``out`` are replaced."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
