@@ -13,9 +13,11 @@ keys, the block in the shard's directory) and one range read of the block; then
 the record itself is one range read of its archive. Queries are sorted by key,
 and reads by place, so that a full sweep reads everything once and in order.
 
-Null html is an empty payload. Rows without an id come first and count as their
-own; rows of equal id and payload are records alike, all responses if the id is
-the least. Null urls have an empty key. Records are held one at a time.
+Null html is an empty payload. A row without an id is never referred to: it
+revisits the row of least id whose payload is equal, and is a response if no row
+with an id has its payload. Rows of equal id and payload are records alike, all
+responses if the id is the least. Null urls have an empty key. Records are held
+one at a time.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ from rivulet.llm.urlfilter import host
 ARCHIVE_BYTES = 256 << 20
 #: Captures in a block of the index.
 BLOCK_LINES = 3000
+#: Bytes of archives, and keys looked up, for each task of the reading stages.
+READ_BYTES, READ_KEYS = 32 << 20, 20_000
 #: Shards an index may have: their first keys are sent to every task.
 MAX_SHARDS = 100_000
 DATE = "2024-01-01T00:00:00Z"
@@ -213,14 +217,17 @@ def lookup(queries: DataFrame, shards: DataFrame, root: str) -> DataFrame:
             rows = [hit for key, pid in zip(batch["url_key"], batch["page_id"], strict=True) for hit in index.find(key, None if pd.isna(pid) else int(pid))]
             yield pd.DataFrame(rows, columns=["url_key", "page_id", "record_type", "file", "offset", "length"]).astype({"page_id": "Int64", "offset": "int64", "length": "int64"})
 
-    keys = queries.select("url_key", F.col("page_id").cast("long").alias("page_id")).repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", "page_id")
-    return keys.mapInPandas(find, _CAPTURE)
+    keys = queries.select("url_key", F.col("page_id").cast("long").alias("page_id"))
+    n = shards.agg(F.sum("captures")).first()[0] or 0  # as many tasks as there may be keys for
+    return keys.repartitionByRange(n // READ_KEYS + 1, "url_key", "page_id").sortWithinPartitions("url_key", "page_id").mapInPandas(find, _CAPTURE)
 
 
-def read_records(captures: DataFrame, root: str) -> DataFrame:
+def read_records(captures: DataFrame, root: str, n_bytes: int | None = None) -> DataFrame:
     """What the archives hold at the captures' places: page_id, record_type,
     payload (null for a revisit), payload_bytes, payload_digest (worked out
-    from the payload, or as a revisit states it) and refers_to."""
+    from the payload, or as a revisit states it) and refers_to. ``n_bytes`` is
+    what is to be read, if that is known: it sets the number of tasks, which the
+    captures' own few bytes would not."""
     bounded_batches(captures.sparkSession, rows=256)
     schema = "page_id long, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 
@@ -250,8 +257,8 @@ def read_records(captures: DataFrame, root: str) -> DataFrame:
         if file is not None:
             file.close()
 
-    placed = captures.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return placed.mapInPandas(read, schema)
+    placed = captures.repartition("file") if n_bytes is None else captures.repartition(n_bytes // READ_BYTES + 1, "file", F.floor(F.col("offset") / READ_BYTES))
+    return placed.sortWithinPartitions("file", "offset").mapInPandas(read, schema)
 
 
 def digest(pages: DataFrame) -> DataFrame:
@@ -261,7 +268,8 @@ def digest(pages: DataFrame) -> DataFrame:
     captures = write_archives(pages, archives)
     shards = build_index(captures, index)
     queries = pages.select(url_key(F.col("url")).alias("url_key"), "page_id").distinct()
-    return read_records(lookup(queries, shards, index), archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    size = captures.agg(F.sum("length")).first()[0] or 0
+    return read_records(lookup(queries, shards, index), archives, size).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: DuckDB has hexadecimal SHA-1; base32 is spelled out of its bits, five at a time.

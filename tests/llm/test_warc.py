@@ -66,3 +66,11 @@ def test_lookup(spark, monkeypatch):
 def test_keys(spark):
     df = spark.createDataFrame([("http://WWW.Example.com/a?b",), (None,), ("x",), ("http://h:80",)], "u string")
     assert [r[0] for r in df.select(warc.url_key(F.col("u"))).collect()] == ["com,example,www)/a?b", "", "", "h:80)"]
+
+
+def test_null_ids(spark):
+    """Rows without an id are never referred to; without another row of their payload they are responses."""
+    pages = [(None, "http://a.example.com/", "shared"), (None, "http://b.example.com/", "shared"), (5, "http://c.example.com/", "shared"), (None, None, "alone"), (None, "http://d.example.com/", "alone"), (6, None, None)]
+    rows = warc.digest(table(spark, pages)).collect()
+    got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in rows)
+    assert got == [(0, 5, "response", 0), (0, 5, "response", 0), (0, 6, "revisit", 5), (0, 6, "revisit", 5), (5, 6, "response", 0), (6, 0, "response", 0)]
