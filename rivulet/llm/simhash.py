@@ -63,7 +63,9 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     variant gives a star. ``prints`` has one column of distinct longs."""
     if radius not in (1, 2):
         raise ValueError("ball hashing by one-bit variants serves a radius of 1 or 2")
-    fp = F.col(prints.columns[0])
+    spark, fp = prints.sparkSession, F.col(prints.columns[0])
+    # the prints are few bytes but each makes 65 rows: not to be gathered in a task or two
+    prints = prints.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     bits = [1 << k if k < 63 else -(1 << 63) for k in range(64)]
     ball = F.array(F.struct(fp.alias("variant"), F.lit(0).cast("long").alias("flip"), F.lit(1).alias("self")), *(F.struct(fp.bitwiseXOR(F.lit(b)).alias("variant"), F.lit(b).alias("flip"), F.lit(0).alias("self")) for b in bits))
     met = (
