@@ -112,14 +112,21 @@ def _parsed(text: str | None) -> tuple[bool, object]:
         return False, None
 
 
+def is_plain(path: str) -> bool:
+    """Whether the path has plain members only, which the JVM can follow."""
+    return _PLAIN.match(path) is not None
+
+
+def all_matches(text: str | None, path: str) -> list[str] | None:
+    """All matches as JSON text; None if the text is no JSON."""
+    ok, doc = _parsed(text)
+    return [_text(x) for x in matches(doc, path)] if ok else None
+
+
 def _all(path: str):
     @F.pandas_udf("array<string>")
     def found(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            ok, doc = _parsed(t)
-            out.append([_text(x) for x in matches(doc, path)] if ok else None)
-        return pd.Series(out, dtype=object)
+        return pd.Series([all_matches(t, path) for t in texts], dtype=object)
 
     return found
 
@@ -139,7 +146,7 @@ def get_first_json_object(col: Column | str, path: str | None) -> Column:
     if path is None:
         raise PlanError("a JSONPath is a literal string")
     steps(path)
-    if _PLAIN.match(path):
+    if is_plain(path):
         return F.to_json(F.try_variant_get(_variant(col), path, "variant"))
     return F.get(extract_json(col, path), 0)
 

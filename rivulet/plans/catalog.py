@@ -116,14 +116,15 @@ class Catalog:
         self.path = Path(path) if path else None
         self.tables: dict[str, TableDef] = {}
         self.jobs: dict[str, str] = {}
+        self.functions: dict[str, str] = {}
         if self.path and self.path.exists():
             kept = json.loads(self.path.read_text())
             self.tables = {k: table_of(parse_one(text)) for k, text in kept["tables"].items()}  # type: ignore[arg-type]
-            self.jobs = kept["jobs"]
+            self.jobs, self.functions = kept["jobs"], kept.get("functions", {})
 
     def _keep(self) -> None:
         if self.path:
-            self.path.write_text(json.dumps({"tables": {k: t.text for k, t in self.tables.items()}, "jobs": self.jobs}))
+            self.path.write_text(json.dumps({"tables": {k: t.text for k, t in self.tables.items()}, "jobs": self.jobs, "functions": self.functions}))
 
     def add(self, table: TableDef, if_not_exists: bool = False) -> bool:
         if table.name in self.tables or table.name in self.jobs:
@@ -155,3 +156,11 @@ class Catalog:
     def drop_job(self, name: str) -> None:
         self.jobs.pop(name, None)
         self._keep()
+
+    def add_function(self, name: str, text: str) -> None:
+        self.functions[name] = text
+        self._keep()
+
+    def drop_function(self, name: str) -> None:
+        self.functions.pop(name, None)
+        self._keep()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions import json as json_functions
-from rivulet.functions import scalar, udf
+from rivulet.functions import dialect, scalar, udf
 from rivulet.operators import cdc, joins, over, sets, stateless, windows
 from rivulet.plans.query import Compiler
 from rivulet.sources.formats import decode_json, encode_json
@@ -132,6 +132,8 @@ def _through_sql(spark: SparkSession, sf_dir: str, sql: str, tables: dict[str, s
     for name, time in tables.items():
         df = table(spark, sf_dir, name)
         (df.withColumn("_timestamp", F.col(time)) if time else df).createOrReplaceTempView(name)
+    scalar.register(spark)
+    dialect.register(spark)
     compiled = Compiler(spark, sql, lambda n: n in tables, streaming=streaming_rules).compile()
     df = spark.sql(compiled.sql)
     return df.drop("_timestamp") if "_timestamp" in df.columns else df
@@ -434,10 +436,10 @@ def json_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_json(e, "unix_millis")
 
 
-@register("json_functions", """SELECT event_id, props->>'$.k' AS first, [props->>'$.k'] AS every, NULL::VARCHAR AS text FROM events""")
+@register("json_functions", """SELECT event_id, props->>'$.k' AS first, [props->>'$.k'] AS every, event_type AS text FROM events""")
 def json_functions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", json_functions.get_first_json_object("props", "$.k").alias("first"), json_functions.extract_json("props", "$['k']").alias("every"), json_functions.extract_json_string("props", "$.k").alias("text"))
+    return e.select("event_id", json_functions.get_first_json_object("props", "$.k").alias("first"), json_functions.extract_json("props", "$['k']").alias("every"), json_functions.extract_json_string(F.to_json(F.struct("event_type")), "$.event_type").alias("text"))
 
 
 @register(
@@ -503,6 +505,145 @@ def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.size("embedding").cast("long").alias("n"), F.array_max("embedding").alias("high"), F.array_min("embedding").alias("low"), F.try_element_at("embedding", F.lit(1)).alias("first"), F.size(F.slice("embedding", 1, 10)).cast("long").alias("ten"))
 
 
+# --- functions as SQL means them, through a session
+
+
+_COLUMNS = {
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_size INT, p_retailprice DOUBLE",
+    "events": "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "lineitem": "l_returnflag STRING, l_linestatus STRING, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>",
+}
+
+
+def _session(name: str, sql: str, of: str, oracle: str) -> None:
+    """A bounded query of a session over one file table."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from rivulet.streaming.session import Session
+
+        session = Session(spark)
+        made = session.sql(f"CREATE TABLE {of} ({_COLUMNS[of]}) WITH ('connector' = 'filesystem', 'format' = 'parquet', 'path' = '{sf_dir}/{of}.parquet')")
+        if not made.ok:
+            raise ValueError(made.message)
+        return session.query(sql)
+
+    register(name, oracle)(run)
+
+
+_session(
+    "sql_math",
+    """
+    SELECT p_partkey, CAST(round(log(p_partkey + 1) * 1000000) AS BIGINT) AS lg, CAST(round(log(2, p_partkey + 1) * 1000000) AS BIGINT) AS lg2, CAST(round(ln(p_partkey + 1) * 1000000) AS BIGINT) AS natural,
+      CAST(trunc(p_retailprice) AS BIGINT) AS whole, CAST(trunc(-p_retailprice / 7) AS BIGINT) AS below, CAST(round(trunc(p_retailprice / 7, 1) * 10) AS BIGINT) AS tenths, gcd(p_partkey, p_size) AS g, lcm(p_partkey, p_size) AS l,
+      gcd(0, p_partkey) AS g0, iszero(p_partkey - 7) AS seventh, CAST(pow(p_size, 2) AS BIGINT) AS square, CAST(round(cbrt(p_size) * 1000) AS BIGINT) AS root, signum(p_size - 25.0) AS side, log(CAST(NULL AS DOUBLE)) AS nothing
+    FROM part
+    """,
+    "part",
+    """
+    SELECT p_partkey, CAST(round(log10(p_partkey + 1) * 1000000) AS BIGINT) AS lg, CAST(round(log2(p_partkey + 1) * 1000000) AS BIGINT) AS lg2, CAST(round(ln(p_partkey + 1) * 1000000) AS BIGINT) AS natural,
+      CAST(trunc(p_retailprice) AS BIGINT) AS whole, CAST(trunc(-p_retailprice / 7) AS BIGINT) AS below, CAST(trunc(p_retailprice / 7 * 10) AS BIGINT) AS tenths, gcd(p_partkey, p_size) AS g, lcm(p_partkey, p_size) AS l,
+      p_partkey AS g0, p_partkey = 7 AS seventh, CAST(p_size * p_size AS BIGINT) AS square, CAST(round(cbrt(p_size) * 1000) AS BIGINT) AS root, CAST(sign(p_size - 25) AS DOUBLE) AS side, CAST(NULL AS DOUBLE) AS nothing
+    FROM part
+    """,
+)
+_session(
+    "sql_strings",
+    """
+    SELECT p_partkey, concat('a', NULL, p_brand, p_size) AS joined, concat(NULL) AS empty, p_name || NULL AS piped, strpos(p_brand, '#') AS found_at, to_hex(p_partkey) AS hexed, chr(228) AS umlaut, split_part(p_name, ' ', 2) AS second,
+      starts_with(p_name, 'small') AS small, ends_with(p_brand, '1') AS one, lpad(p_brand, 10, '*') AS padded, initcap(p_name) AS capital, levenshtein(p_brand, 'Brand') AS far, length(p_name) AS n, sha256(p_name) AS digested, encode(p_brand, 'base64') AS b64,
+      CAST(decode('48656c6c6f', 'hex') AS STRING) AS hello, lower(hex(digest(p_brand, 'md5'))) AS md
+    FROM part
+    """,
+    "part",
+    """
+    SELECT p_partkey, concat('a', NULL, p_brand, p_size) AS joined, '' AS empty, p_name || NULL AS piped, CAST(strpos(p_brand, '#') AS INTEGER) AS found_at, lower(to_hex(p_partkey)) AS hexed, chr(228) AS umlaut, split_part(p_name, ' ', 2) AS second,
+      starts_with(p_name, 'small') AS small, ends_with(p_brand, '1') AS one, lpad(p_brand, 10, '*') AS padded, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS capital, CAST(levenshtein(p_brand, 'Brand') AS INTEGER) AS far,
+      CAST(length(p_name) AS INTEGER) AS n, sha256(p_name) AS digested, rtrim(to_base64(encode(p_brand)), '=') AS b64, 'Hello' AS hello, md5(p_brand) AS md
+    FROM part
+    """,
+)
+_session(
+    "sql_regex",
+    r"""
+    SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '_') AS once, regexp_replace(p_name, '[aeiou]', '_', 'g') AS every, regexp_replace('aaa', 'a', 'b') AS first, regexp_replace(p_name, '(\\w)(\\w)', '\\2\\1') AS swapped, regexp_replace(p_name, 'X', '$') AS none,
+      regexp_replace(upper(p_name), '[aeiou]', '$', 'gi') AS dollars, regexp_like(p_name, '^S', 'i') AS begins, regexp_count(p_name, '[aeiou]') AS vowels, regexp_match(p_brand, '#(\\d)(\\d)') AS digits, regexp_match(p_name, 'q+z') AS unmatched, regexp_match(p_name, '[a-z]+') AS whole
+    FROM part
+    """,
+    "part",
+    r"""
+    SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '_') AS once, regexp_replace(p_name, '[aeiou]', '_', 'g') AS every, 'baa' AS first, regexp_replace(p_name, '(\w)(\w)', '\2\1') AS swapped, p_name AS none,
+      regexp_replace(upper(p_name), '[AEIOU]', '$', 'g') AS dollars, regexp_matches(lower(p_name), '^s') AS begins, CAST(len(regexp_extract_all(p_name, '[aeiou]')) AS INTEGER) AS vowels,
+      CASE WHEN regexp_matches(p_brand, '#\d\d') THEN [regexp_extract(p_brand, '#(\d)(\d)', 1), regexp_extract(p_brand, '#(\d)(\d)', 2)] END AS digits, CAST(NULL AS VARCHAR[]) AS unmatched,
+      CASE WHEN regexp_matches(p_name, '[a-z]+') THEN [regexp_extract(p_name, '[a-z]+')] END AS whole
+    FROM part
+    """,
+)
+_session(
+    "sql_dates",
+    """
+    SELECT event_id, date_part('dow', ts) AS dow, EXTRACT(dow FROM TIMESTAMP '2024-03-03 10:00:00') AS sunday, date_part('doy', ts) AS doy, date_part('second', ts) AS s, date_part('millisecond', ts) AS ms, CAST(date_part('epoch', ts) AS BIGINT) AS secs,
+      CAST(date_bin(INTERVAL '15' MINUTE, ts) AS TIMESTAMP_NTZ) AS bin, CAST(date_bin(INTERVAL '1' HOUR, ts, TIMESTAMP '1970-01-01 00:20:00') AS TIMESTAMP_NTZ) AS shifted, to_unixtime(ts) AS unix, to_local_time(ts) AS local,
+      to_char(ts, '%Y-%m-%d at %H:%M') AS text, CAST(date_trunc('month', ts) AS TIMESTAMP_NTZ) AS month, CAST(from_unixtime(86400) AS TIMESTAMP_NTZ) AS day_two, CAST(to_timestamp_millis(1500) AS TIMESTAMP_NTZ) AS after, date_part('dow', CAST(NULL AS TIMESTAMP)) AS nothing
+    FROM events
+    """,
+    "events",
+    """
+    SELECT event_id, CAST(date_part('dow', ts) AS INTEGER) AS dow, CAST(0 AS INTEGER) AS sunday, CAST(date_part('doy', ts) AS INTEGER) AS doy, CAST(date_part('second', ts) AS INTEGER) AS s, CAST(date_part('millisecond', ts) AS INTEGER) AS ms, epoch_us(ts) // 1000000 AS secs,
+      time_bucket(INTERVAL 15 MINUTE, ts) AS bin, make_timestamp((epoch_us(ts) - 1200000000) // 3600000000 * 3600000000 + 1200000000) AS shifted, epoch_us(ts) // 1000000 AS unix, ts AS local,
+      strftime(ts, '%Y-%m-%d at %H:%M') AS text, CAST(date_trunc('month', ts) AS TIMESTAMP) AS month, TIMESTAMP '1970-01-02 00:00:00' AS day_two, TIMESTAMP '1970-01-01 00:00:01.5' AS after, CAST(NULL AS INTEGER) AS nothing
+    FROM events
+    """,
+)
+_session(
+    "sql_arrays",
+    """
+    SELECT vec_id, array_length(embedding) AS n, cardinality(make_array(1, 2, NULL)) AS three, array_has(make_array(1, 2), 2) AS has, array_has_all(make_array(1, 2, 3), make_array(3, 1)) AS has_all, array_has_any(make_array(1), make_array(2, 3)) AS has_any,
+      array_position(make_array('a', 'b'), 'b') AS place, array_position(make_array('a'), 'z') AS no_place, array_positions(make_array(5, 6, 5), 5) AS places, array_remove(make_array(5, 6, 5), 5) AS less, array_remove_all(make_array(5, 6, 5), 5) AS none_left,
+      array_replace(make_array(5, 6, 5), 5, 9) AS one_new, array_replace_all(make_array(5, 6, 5), 5, 9) AS all_new, array_slice(make_array(1, 2, 3, 4), 2, 3) AS middle, array_resize(make_array(1, 2), 3, 0) AS longer, array_pop_back(make_array(1, 2)) AS front, array_pop_front(make_array(1, 2)) AS back,
+      array_to_string(make_array(1, NULL, 3), '-', 'x') AS text, string_to_array('a.b.c', '.') AS pieces, generate_series(1, 4) AS series, range(1, 4) AS open, array_concat(make_array(1), make_array(2, 3)) AS both, array_element(make_array(1, 2), 5) AS beyond, empty(make_array(1)) AS bare,
+      array_reverse(make_array(1, 2)) AS turned, map_extract(map('k', 1), 'k') AS value
+    FROM embeddings
+    """,
+    "embeddings",
+    """
+    SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, CAST(3 AS INTEGER) AS three, true AS has, true AS has_all, false AS has_any, CAST(2 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS no_place, [CAST(1 AS BIGINT), 3] AS places, [6, 5] AS less, [6] AS none_left,
+      [9, 6, 5] AS one_new, [9, 6, 9] AS all_new, [2, 3] AS middle, [1, 2, 0] AS longer, [1] AS front, [2] AS back, '1-x-3' AS text, ['a', 'b', 'c'] AS pieces, [1, 2, 3, 4] AS series, [1, 2, 3] AS open, [1, 2, 3] AS both, CAST(NULL AS INTEGER) AS beyond, false AS bare, [2, 1] AS turned, [1] AS value
+    FROM embeddings
+    """,
+)
+_session(
+    "sql_aggregates",
+    f"""
+    SELECT l_returnflag, COUNT(*) AS n, COUNT(DISTINCT l_suppkey) AS suppliers, approx_distinct(l_linenumber) AS about, bool_and(l_quantity > 0) AS positive, bool_or(l_discount > 0.09) AS some_discount, bit_and(l_linenumber) AS b_and, bit_or(l_linenumber) AS b_or, bit_xor(l_linenumber) AS b_xor,
+      median(l_quantity) AS mid, approx_median(l_linenumber) AS line, CAST(round(var(l_quantity) * 1000) AS BIGINT) AS v, CAST(round(var_pop(l_quantity) * 1000) AS BIGINT) AS vp, CAST(round(stddev_pop(l_quantity) * 1000) AS BIGINT) AS sp, CAST(round(covar_samp(l_quantity, l_discount) * 1000) AS BIGINT) AS cs,
+      CAST(round(covar_pop(l_quantity, l_discount) * 1000) AS BIGINT) AS cp, CAST(round(regr_slope(l_extendedprice, l_quantity)) AS BIGINT) AS slope, CAST(round(regr_intercept(l_extendedprice, l_quantity)) AS BIGINT) AS cut, regr_count(l_extendedprice, l_quantity) AS pairs, CAST(round(regr_r2(l_extendedprice, l_quantity) * 1000) AS BIGINT) AS r2,
+      CAST(round(regr_avgx(l_extendedprice, l_quantity) * 1000) AS BIGINT) AS ax, CAST(round(regr_sxx(l_extendedprice, l_quantity)) AS BIGINT) AS sxx, COUNT(*) FILTER (WHERE l_linestatus = 'O') AS open, array_sort(array_agg(DISTINCT l_linestatus)) AS statuses
+    FROM lineitem GROUP BY l_returnflag
+    """,
+    "lineitem",
+    """
+    SELECT l_returnflag, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_linenumber) AS about, bool_and(l_quantity > 0) AS positive, bool_or(l_discount > 0.09) AS some_discount, bit_and(l_linenumber) AS b_and, bit_or(l_linenumber) AS b_or, bit_xor(l_linenumber) AS b_xor,
+      median(l_quantity) AS mid, quantile_disc(l_linenumber, 0.5) AS line, CAST(round(var_samp(l_quantity) * 1000) AS BIGINT) AS v, CAST(round(var_pop(l_quantity) * 1000) AS BIGINT) AS vp, CAST(round(stddev_pop(l_quantity) * 1000) AS BIGINT) AS sp, CAST(round(covar_samp(l_quantity, l_discount) * 1000) AS BIGINT) AS cs,
+      CAST(round(covar_pop(l_quantity, l_discount) * 1000) AS BIGINT) AS cp, CAST(round(regr_slope(l_extendedprice, l_quantity)) AS BIGINT) AS slope, CAST(round(regr_intercept(l_extendedprice, l_quantity)) AS BIGINT) AS cut, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS pairs, CAST(round(regr_r2(l_extendedprice, l_quantity) * 1000) AS BIGINT) AS r2,
+      CAST(round(regr_avgx(l_extendedprice, l_quantity) * 1000) AS BIGINT) AS ax, CAST(round(regr_sxx(l_extendedprice, l_quantity)) AS BIGINT) AS sxx, count(*) FILTER (WHERE l_linestatus = 'O') AS open, list_sort(array_agg(DISTINCT l_linestatus)) AS statuses
+    FROM lineitem GROUP BY l_returnflag
+    """,
+)
+_session(
+    "sql_json",
+    """
+    SELECT event_id, get_first_json_object(props, '$.k') AS k, get_first_json_object(concat('{"a": {"t": "', event_type, '"}}'), '$.a.t') AS quoted, extract_json_string(concat('{"a": ["', event_type, '", 2]}'), '$.a[0]') AS text, extract_json_string(props, '$.k') AS no_string,
+      extract_json(concat('{"a": [{"n": ', user_id, '}, {"n": 2}]}'), '$.a[*].n') AS every, extract_json('{"a": [1, 5, 9]}', '$.a[1:]') AS tail, extract_json(props, '$.nosuch') AS none, extract_json('{broken', '$.a') AS broken, get_first_json_object(NULL, '$.a') AS nothing
+    FROM events
+    """,
+    "events",
+    """
+    SELECT event_id, props->>'$.k' AS k, '"' || event_type || '"' AS quoted, event_type AS text, CAST(NULL AS VARCHAR) AS no_string, [CAST(user_id AS VARCHAR), '2'] AS every, ['5', '9'] AS tail, CAST([] AS VARCHAR[]) AS none, CAST(NULL AS VARCHAR[]) AS broken, CAST(NULL AS VARCHAR) AS nothing FROM events
+    """,
+)
+
+
 class _Words:
     """A table function: the words of a name and their places."""
 

@@ -11,14 +11,17 @@ from rivulet.plans.ddl import Column as ColumnDef
 from rivulet.plans.types import UNSIGNED
 
 
+_BAD = "_rv_bad_record"
+
+
 def decode_json(records: DataFrame, schema: T.StructType, bad_data: str = "fail", value: str = "value") -> DataFrame:
     """A row for each JSON record; fields not in the schema are ignored. Bad
     records fail the query or are dropped; empty records (tombstones) go."""
     text = records.where(F.col(value).isNotNull()).select(F.col(value).cast("string").alias("_rv_text"))
-    if bad_data == "drop":
-        # first what is no JSON, by a parser that gives null; then the typed reading
-        good = text.where(F.try_parse_json("_rv_text").isNotNull())
-        return good.select(F.from_json("_rv_text", schema, {"mode": "PERMISSIVE"}).alias("r")).where("r is not null").select("r.*")
+    if bad_data == "drop":  # no JSON, or a field of another type
+        marked = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+        read = text.select(F.from_json("_rv_text", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}).alias("r"))
+        return read.where(F.col("r").isNotNull() & F.col(f"r.{_BAD}").isNull()).select("r.*").drop(_BAD)
     return text.select(F.from_json("_rv_text", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 

@@ -38,7 +38,7 @@ def _kafka(spark: SparkSession, table: TableDef, streaming: bool) -> DataFrame:
     if group := o.get("group.id", o.get("group_id")):
         reader = reader.option("kafka.group.id", group)
     if rate := o.integer("rate_limit.messages_per_second", None):
-        reader = reader.option("maxOffsetsPerTrigger", str(rate * 10))
+        reader = reader.option("maxOffsetsPerTrigger", str(rate))  # a trigger a second
     known = ("connector", "format", "type", "topic", "bootstrap", "scan", "isolation", "group", "rate_limit", "json", "bad_data", "framing", "idle", "lookup", "sink", "partition_by", "event_time_field", "watermark_field")
     for k, v in table.options.items():
         if not k.startswith(known):

@@ -3,8 +3,15 @@
 A processor runs as a stateful streaming query. Its inputs are streams of
 ``value`` (binary), told apart by ``source_id``; what it emits are rows of
 ``target`` and ``value``. Rows of one key (by default one key for all, so that
-running totals are global) go to one instance in order of arrival within a
-batch; state lives in Spark's state store and survives restarts.
+running totals are global; a task's ``key-by`` names a field of JSON records instead, and
+spreads the work) go to one instance in order of arrival within a batch; state
+lives in Spark's state store and survives restarts.
+
+Around each batch of a key the other callbacks are made: ``check_heartbeat``
+first (False fails the query); after the rows ``process_watermark`` for each
+source whose latest record time has moved on, in milliseconds, where inputs have
+times; then ``take_checkpoint`` with the number of the key's batch, since Spark
+commits the state when the batch ends. What callbacks emit counts.
 """
 
 from __future__ import annotations
@@ -35,13 +42,16 @@ class Context:
     def __init__(self, config: dict[str, Any], backend_of) -> None:
         self.config, self._backend_of = config, backend_of
         self.emitted: list[tuple[int, bytes]] = []
+        self.watermarks: dict[int, int] = {}
         self._stores: dict[str, KvStore] = {}
 
     def emit(self, data: bytes, target: int = 0) -> None:
         self.emitted.append((target, bytes(data)))
 
     def emit_watermark(self, watermark: int, target: int = 0) -> None:
-        """A control signal; Spark carries time beside the rows."""
+        """The latest watermark of a target; Spark carries time beside the rows, so
+        it is kept for those that read the context and not sent on."""
+        self.watermarks[target] = max(int(watermark), self.watermarks.get(target, int(watermark)))
 
     def get_or_create_kv_store(self, name: str) -> KvStore:
         if name not in self._stores:
@@ -100,16 +110,33 @@ class _Bridge(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getMapState("kv", "store string, k binary", "v binary")
+        self.clock = handle.getMapState("clock", "what string", "at long")
         self.ctx = Context(self.config, lambda name: _MapBackend(self.state, name))
         self.processor, self.ready = self.kind(), False
 
+    def _at(self, what: str) -> int | None:
+        return int(self.clock.getValue((what,))[0]) if self.clock.containsKey((what,)) else None
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if not self.ready:
             self.processor.init(self.ctx, self.config)
             self.ready = True
+        if self.processor.check_heartbeat(self.ctx) is False:
+            raise RuntimeError("the processor's heartbeat failed")
+        latest: dict[int, int] = {}
         for batch in rows:
-            for source, value in zip(batch["source_id"], batch["value"], strict=True):
+            for source, value, at in zip(batch["source_id"], batch["value"], batch["at"], strict=True):
                 self.processor.process(self.ctx, int(source), bytes(value))
+                if not pd.isna(at):
+                    latest[int(source)] = max(int(at), latest.get(int(source), int(at)))
+        for source, at in sorted(latest.items()):
+            before = self._at(f"source {source}")
+            if before is None or at > before:
+                self.clock.updateValue((f"source {source}",), (at,))
+                self.processor.process_watermark(self.ctx, source, at)
+        number = (self._at("batch") or 0) + 1
+        self.clock.updateValue(("batch",), (number,))
+        self.processor.take_checkpoint(self.ctx, number)
         out, self.ctx.emitted = self.ctx.emitted, []
         yield pd.DataFrame({"target": pd.Series([t for t, _ in out], dtype="int32"), "value": pd.Series([v for _, v in out], dtype=object)})
 
@@ -131,8 +158,10 @@ def run_bounded(kind: type, config: dict[str, Any], records: list[tuple[int, byt
 
 
 def processed(inputs: list[DataFrame], kind: type, config: dict[str, Any] | None = None, key: Column | None = None) -> DataFrame:
-    """(target, value) rows that a processor emits over some input streams."""
-    sources = [df.select(F.lit(k).alias("source_id"), F.col("value").cast("binary").alias("value")) for k, df in enumerate(inputs)]
+    """(target, value) rows that a processor emits over some input streams, which
+    may have a ``timestamp`` beside the ``value``."""
+    at = lambda df: F.unix_millis(F.col("timestamp").cast("timestamp")) if "timestamp" in df.columns else F.lit(None).cast("long")
+    sources = [df.select(F.lit(k).alias("source_id"), F.col("value").cast("binary").alias("value"), at(df).alias("at")) for k, df in enumerate(inputs)]
     rows = reduce(DataFrame.unionByName, sources).where(F.col("value").isNotNull()).withColumn("_rv_key", key if key is not None else F.lit(0))
     return rows.groupBy("_rv_key").transformWithStateInPandas(_Bridge(kind, config or {}), "target int, value binary", "append", "none")
 
@@ -229,7 +258,9 @@ class Deployment:
             raise PlanError(f"function {self.name} is running")
         self.state = "Starting"
         init = self.config.get("init-config") or {}
-        out = processed(self._inputs(), self.processor, init)
+        field = self.config.get("key-by")
+        key = F.coalesce(F.get_json_object(F.col("value").cast("string"), f"$.{field}"), F.lit("")) if field else None
+        out = processed(self._inputs(), self.processor, init, key)
         writer = out.writeStream.outputMode("append").queryName(f"function_{self.name}").option("checkpointLocation", f"{self.checkpoints}/function-{self.name}")
         writer = writer.foreachBatch(self.sink or self._write)
         if available_now:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import shutil
 import tempfile
 import time
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from rivulet.errors import AlreadyExists, NotFound, PlanError, RivuletError
-from rivulet.functions import scalar
+from rivulet.functions import dialect, scalar
 from rivulet.plans import ddl
 from rivulet.plans.catalog import Catalog, table_of
 from rivulet.plans.query import Compiled, Compiler
@@ -65,13 +67,27 @@ class Session:
 
     def __init__(self, spark: SparkSession, catalog_path: str | None = None, checkpoints: str | None = None, available_now: bool = False) -> None:
         self.spark, self.catalog, self.available_now = spark, Catalog(catalog_path), available_now
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        self.checkpoints = checkpoints or (f"{shared.rstrip('/')}/streams-{int(time.time() * 1e6)}" if shared else tempfile.mkdtemp(prefix="rivulet-"))
+        self._checkpoints = checkpoints
         self.jobs: dict[str, Job] = {}
         self.functions: dict[str, Deployment] = {}
         self.bound: dict[str, DataFrame] = {}
         self.collected: dict[str, list[DataFrame]] = {}
         scalar.register(spark)
+        dialect.register(spark)
+
+    @property
+    def checkpoints(self) -> str:
+        """Where queries keep their progress. Unless it is given, a folder in
+        ``spark.checkpoint.dir``; without that a temporary one, on one machine only."""
+        if self._checkpoints is None:
+            shared = self.spark.conf.get("spark.checkpoint.dir", None)
+            if shared:
+                self._checkpoints = f"{shared.rstrip('/')}/streams-{int(time.time() * 1e6)}"
+            elif self.spark.sparkContext.master.split("[")[0] == "local":
+                self._checkpoints = tempfile.mkdtemp(prefix="rivulet-")
+            else:
+                raise PlanError("name a shared folder for checkpoints, or set spark.checkpoint.dir")
+        return self._checkpoints
 
     # --- statements
 
@@ -84,6 +100,9 @@ class Session:
             return result
         except RivuletError as e:
             return Result(False, e.code, str(e))
+        except PySparkException as e:  # what Spark finds wrong with a query
+            missing = "NOT_FOUND" in (e.getCondition() or "")
+            return Result(False, 404 if missing else 400 if isinstance(e, AnalysisException) else 500, str(e).split("\n")[0])
 
     def query(self, text: str) -> DataFrame:
         """A bounded query over the registered tables, with all that batch mode allows."""
@@ -116,6 +135,7 @@ class Session:
             if d.name in self.functions:
                 raise AlreadyExists(f"function {d.name} already exists")
             self.functions[d.name] = d
+            self.catalog.add_function(d.name, json.dumps(s.options))
             return Result(True, 200, f"function {d.name} created")
         d = self._function(s.name)
         d.start(self.available_now) if s.action == "start" else d.stop()
@@ -150,7 +170,8 @@ class Session:
 
     def _compile(self, text: str, streaming: bool) -> Compiled:
         known = lambda n: n in self.catalog.tables
-        return Compiler(self.spark, text, known, lambda n: self.catalog.tables[n].updating, streaming).compile()
+        timed = lambda n: self.catalog.tables[n].watermark is not None
+        return Compiler(self.spark, text, known, lambda n: self.catalog.tables[n].updating, streaming, timed).compile()
 
     def _register(self, names: set[str], streaming: bool) -> None:
         for name in names:
@@ -173,8 +194,9 @@ class Session:
         if compiled.over:
             stream, apply = self._over(s.select, compiled)
             writer = stream.writeStream.outputMode("append").foreachBatch(lambda rows, n: write(apply(rows), n))
-        elif compiled.relation.updating and compiled.aggregate:
-            writer = self._updating(compiled).writeStream.outputMode("append").foreachBatch(write)
+        elif compiled.changes:
+            stream, apply = self._updating(compiled, s.name)
+            writer = stream.writeStream.outputMode("append").foreachBatch(lambda rows, n: write(apply(rows), n))
         elif compiled.relation.updating:
             writer = self._select(compiled, True).writeStream.outputMode("append").foreachBatch(write)
         else:
@@ -182,6 +204,8 @@ class Session:
         writer = writer.queryName(s.name).option("checkpointLocation", f"{self.checkpoints}/{s.name}")
         if self.available_now:
             writer = writer.trigger(availableNow=True)
+        elif any(self.catalog.get(n).options.get("rate_limit.messages_per_second") for n in compiled.sources):
+            writer = writer.trigger(processingTime="1 second")  # each batch holds a second's records at most
         job.query = writer.start()
         self.jobs[s.name] = job
         self.catalog.add_job(s.name, s.text)
@@ -209,22 +233,22 @@ class Session:
                 return stream, apply
         raise PlanError("window functions need a sub-query in FROM")
 
-    def _updating(self, compiled: Compiled) -> DataFrame:
-        """The aggregate's input as a stream, through the stateful changelog."""
-        keys, aggs = compiled.aggregate
-        tokens, depth = ddl.tokens(compiled.sql), 0
-        start = end = None
-        for t in tokens:
-            if depth == 0 and t.word == "from" and start is None:
-                start = t.start
-            if depth == 0 and t.word in ("group", "having") and start is not None and end is None:
-                end = t.start
-            if depth == 0 and t.word == "having":
-                raise PlanError("HAVING is not supported in updating queries")
-            depth += (t.text == "(") - (t.text == ")")
+    def _updating(self, compiled: Compiled, name: str):
+        """The aggregate's changelog as a stream, and what is made of each batch of it."""
+        changes, view = compiled.changes, f"rv_changes_{name}"
         self._register(compiled.sources, True)
-        rows = self.spark.sql(f"SELECT * {compiled.sql[start:end]}")
-        return updating_aggregate(rows, keys, aggs, None if self.available_now else DAY_MS)
+        rows = self.spark.sql(changes.input)
+        log = updating_aggregate(rows, changes.keys, changes.aggs, None if self.available_now else DAY_MS)
+
+        def apply(rows: DataFrame) -> DataFrame:
+            rows.createOrReplaceTempView(view)
+            return rows.sparkSession.sql(changes.outer.replace("{changelog}", view))
+
+        # found out now what the query made of the results has wrong
+        empty = self.spark.createDataFrame([], log.schema)
+        empty.createOrReplaceTempView(view)
+        self.spark.sql(changes.outer.replace("{changelog}", view))
+        return log, apply
 
     def _job(self, name: str) -> Job:
         if name not in self.jobs:
@@ -252,7 +276,11 @@ class Session:
         return True
 
     def restore(self) -> None:
-        """Start the jobs that the catalog remembers."""
+        """Start the jobs that the catalog remembers, and register its functions
+        again (stopped; their state is in their checkpoints)."""
+        for name, text in list(self.catalog.functions.items()):
+            if name not in self.functions:
+                self.functions[name] = deploy(self.spark, json.loads(text), self.checkpoints)
         for name, text in list(self.catalog.jobs.items()):
             if name not in self.jobs:
                 self._create_job(ddl.parse_one(text))  # type: ignore[arg-type]
@@ -278,4 +306,5 @@ class Session:
                 return Result(True, 200, f"function {s.name} not found, skipped")
             raise NotFound(f"function {s.name} not found")
         self.functions.pop(s.name).close()
+        self.catalog.drop_function(s.name)
         return Result(True, 200, f"function {s.name} dropped")

@@ -3,8 +3,9 @@
 For each key that a batch touches, the old result is retracted if there was one
 and it differs, and the new one appended if rows are left; an unchanged result
 emits nothing. Rows that retract (``_updating_meta.is_retract``) are taken out
-again. Sums and counts are kept as such; minimum, maximum and distinct counts
-keep how often each value occurs. A key idle for the time to live is retracted
+again. Sums and counts are kept as such, decimals as whole numbers of their last
+digit; minimum, maximum and distinct counts keep how often each value occurs. A
+key idle for the time to live is retracted
 and forgotten.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,7 +43,19 @@ def _kept(state: dict, name: str, fn: str, value, sign: int) -> None:
         state[name] = [n + sign, s + sign * value if fn != "count" else 0]
 
 
-def _result(state: dict, name: str, fn: str):
+def _result(state: dict, name: str, fn: str, scale: int | None = None):
+    """The value of one aggregate; ``scale``, the digits of a decimal argument."""
+    value = _plain(state, name, fn)
+    if scale is None or value is None or fn in ("count", "count_distinct"):
+        return value
+    if fn == "avg":
+        total, n = state[name][1], state[name][0]
+        digits = 10**4  # an average has four digits more
+        return Decimal((abs(total) * digits * 2 + n) // (2 * n) * (1 if total >= 0 else -1)).scaleb(-scale - 4)
+    return Decimal(value).scaleb(-scale)
+
+
+def _plain(state: dict, name: str, fn: str):
     held = state.get(name)
     if fn == "count":
         return held[0] if held else 0
@@ -62,22 +76,33 @@ def updating_aggregate(df: DataFrame, keys: list[str], aggs: list[tuple[str, str
             raise PlanError(f"an updating aggregate cannot retract {fn}")
     gone = F.col(f"{META}.is_retract") if META in df.columns else F.lit(False)
     rows = df.select(*keys, *(F.expr(arg).alias(f"_rv_{out}") for out, _, arg in aggs), gone.alias("_rv_gone"))
-    kinds = {"count": T.LongType(), "count_distinct": T.LongType(), "avg": T.DoubleType()}
-    fields = [rows.schema[k] for k in keys]
+    kinds: dict[str, T.DataType] = {"count": T.LongType(), "count_distinct": T.LongType(), "avg": T.DoubleType()}
+    fields, scales = [rows.schema[k] for k in keys], {}
     for out, fn, _ in aggs:
         given = rows.schema[f"_rv_{out}"].dataType
-        if isinstance(given, T.DecimalType):
-            rows, given = rows.withColumn(f"_rv_{out}", F.col(f"_rv_{out}").cast("double")), T.DoubleType()
+        if isinstance(given, T.DecimalType) and fn not in ("count", "count_distinct"):
+            scales[out] = given.scale
+            if fn == "avg":
+                kinds[out] = T.DecimalType(min(38, given.precision + 4), given.scale + 4)
+            elif fn == "sum":
+                given = T.DecimalType(min(38, given.precision + 10), given.scale)
         wide = T.LongType() if isinstance(given, T.IntegralType) else T.DoubleType() if isinstance(given, (T.FloatType, T.DoubleType)) else given
         if fn in ("min", "max") and not isinstance(given, (T.NumericType, T.StringType, T.BooleanType)):
             raise PlanError(f"{fn} of {given.simpleString()} is not kept in updating aggregates")
-        fields.append(T.StructField(out, kinds.get(fn, wide)))
+        fields.append(T.StructField(out, kinds.get(out, wide) if out in scales else kinds.get(fn, wide)))
     schema = T.StructType([*fields, T.StructField("_rv_gone", T.BooleanType()), T.StructField("_rv_seq", T.LongType())])
     names = [out for out, _, _ in aggs]
 
+    def plain(out: str, value):
+        if pd.isna(value):
+            return None
+        if isinstance(value, Decimal):
+            return int(value.scaleb(scales[out])) if out in scales else str(value)
+        return value.item() if hasattr(value, "item") else value
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {"rows": 0, "state": {}}
-        before = [_result(held["state"], out, fn) for out, fn, _ in aggs] if held["rows"] else None
+        before = [_result(held["state"], out, fn, scales.get(out)) for out, fn, _ in aggs] if held["rows"] else None
         if state.hasTimedOut:
             state.remove()
             after = None
@@ -87,9 +112,8 @@ def updating_aggregate(df: DataFrame, keys: list[str], aggs: list[tuple[str, str
                     sign = -1 if row["_rv_gone"] else 1
                     held["rows"] += sign
                     for out, fn, _ in aggs:
-                        value = row[f"_rv_{out}"]
-                        _kept(held["state"], out, fn, None if pd.isna(value) else value.item() if hasattr(value, "item") else value, sign)
-            after = [_result(held["state"], out, fn) for out, fn, _ in aggs] if held["rows"] > 0 else None
+                        _kept(held["state"], out, fn, plain(out, row[f"_rv_{out}"]), sign)
+            after = [_result(held["state"], out, fn, scales.get(out)) for out, fn, _ in aggs] if held["rows"] > 0 else None
             if after is None:
                 if state.exists:
                     state.remove()
@@ -106,7 +130,7 @@ def updating_aggregate(df: DataFrame, keys: list[str], aggs: list[tuple[str, str
         if out:
             yield pd.DataFrame(out, columns=[*keys, *names, "_rv_gone", "_rv_seq"])
 
-    grouped = rows.groupBy(*keys) if keys else rows.groupBy(F.lit(0).alias("_rv_all"))
+    grouped = rows.groupBy(*keys) if keys else rows.withColumn("_rv_all", F.lit(0)).groupBy("_rv_all")
     if not keys:
         inner = step
 

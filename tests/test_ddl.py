@@ -10,22 +10,23 @@ from rivulet.plans.types import spark_type
 @pytest.mark.parametrize(
     ("text", "kind"),
     [
-        ("CREATE FUNCTION WITH ('function_path'='./a.py', 'config_path'='./c.yml')", ddl.CreateFunction),
-        ("create function with ('function_path'='./a.py')", ddl.CreateFunction),
-        ("DROP FUNCTION t", ddl.Drop),
-        ("START FUNCTION t", ddl.FunctionState),
-        ("stop function t", ddl.FunctionState),
-        ("SHOW FUNCTIONS", ddl.Show),
-        ("SHOW TABLES", ddl.Show),
-        ("SHOW CREATE TABLE t", ddl.Show),
+        ("CREATE TABLE trips (vehicle BIGINT, left_at TIMESTAMP NOT NULL, WATERMARK FOR left_at AS left_at - INTERVAL '3' SECOND) WITH ('connector' = 'memory')", ddl.CreateTable),
+        ("Create Table If Not Exists stops (code STRING PRIMARY KEY)", ddl.CreateTable),
+        ("CREATE STREAMING TABLE busy WITH ('connector' = 'blackhole') AS SELECT vehicle FROM trips", ddl.CreateStreamingTable),
+        ("create streaming table if not exists busy with ('connector' = 'memory') as select 1 as one", ddl.CreateStreamingTable),
+        ("SHOW CREATE STREAMING TABLE busy", ddl.Show),
+        ("show create table trips", ddl.Show),
         ("SHOW STREAMING TABLES", ddl.Show),
-        ("SHOW CREATE STREAMING TABLE t", ddl.Show),
-        ("CREATE TABLE t (id INT, name VARCHAR)", ddl.CreateTable),
-        ("CREATE TABLE IF NOT EXISTS k (id BIGINT, ts TIMESTAMP NOT NULL, WATERMARK FOR ts) WITH ('connector' = 'kafka')", ddl.CreateTable),
-        ("DROP TABLE t", ddl.Drop),
-        ("DROP TABLE IF EXISTS t", ddl.Drop),
-        ("DROP STREAMING TABLE IF EXISTS t", ddl.Drop),
-        ("create streaming table o with ('connector' = 'memory') as select 1 as x", ddl.CreateStreamingTable),
+        ("show tables", ddl.Show),
+        ("Show Functions", ddl.Show),
+        ("DROP STREAMING TABLE busy", ddl.Drop),
+        ("DROP STREAMING TABLE IF EXISTS busy", ddl.Drop),
+        ("drop table if exists trips", ddl.Drop),
+        ("DROP TABLE stops", ddl.Drop),
+        ("DROP FUNCTION smoother", ddl.Drop),
+        ("CREATE FUNCTION WITH ('config_path' = '/tasks/smoother.yaml', 'function_path' = '/tasks/smoother.py')", ddl.CreateFunction),
+        ("START FUNCTION smoother", ddl.FunctionState),
+        ("Stop Function smoother", ddl.FunctionState),
     ],
 )
 def test_classifies(text, kind):

@@ -71,6 +71,9 @@ def test_bad_data(spark):
     records = spark.createDataFrame([(b'{"a": 1, "z": 0}',), (b"{bad",), (None,)], "value binary")
     schema = StructType().add("a", IntegerType())
     assert [r.a for r in decode_json(records, schema, "drop").collect()] == [1]
+    mixed = spark.createDataFrame([(x,) for x in (b'{"a": "x", "b": 1}', b'{"a": 2, "b": "y"}', b'{"a": 3, "b": null}', b'{"b": 4.5}', b"7", b"", b"{}", b'{"a": 99999999999}')], "value binary")
+    both = StructType().add("a", IntegerType()).add("b", IntegerType())
+    assert sorted(map(tuple, decode_json(mixed, both, "drop").collect()), key=str) == [(3, None), (None, None)]  # mistyped fields are bad, absent ones null
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         decode_json(records, schema, "fail").collect()
     assert [r.value for r in unframe(spark.createDataFrame([(b"a\nbcd\n",)], "value binary"), max_length=2).collect()] == ["a", "bc"]

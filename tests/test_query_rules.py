@@ -90,3 +90,48 @@ def test_updating(spark):
 def test_batch_allows(spark):
     for sql in ("SELECT k FROM a ORDER BY k LIMIT 3", "SELECT k FROM a WHERE k IN (SELECT k FROM b)", "SELECT a.k FROM a LEFT JOIN b ON a.k = b.k", "SELECT k FROM a EXCEPT SELECT k FROM b"):
         compiled(spark, sql, streaming=False)
+
+
+def test_updating_queries_are_split(spark):
+    """What the aggregate reads, and what is made of its changelog."""
+    c = compiled(spark, "SELECT k, n * 2 AS m FROM (SELECT k, COUNT(*) AS n FROM a WHERE v > 1 GROUP BY k) x WHERE n > 3").changes
+    assert c.input == "SELECT k AS _rv_k0, 1 AS _rv_a0 FROM a WHERE v > 1 "
+    assert c.outer == "SELECT k, n * 2 AS m, _updating_meta, _rv_seq FROM (SELECT _rv_k0 AS `k`, _rv_a0 AS `n`, _updating_meta, _rv_seq FROM {changelog}) x WHERE n > 3"
+    c = compiled(spark, "WITH e AS (SELECT k, log(v) AS v FROM a) SELECT k + 1 AS j, SUM(v) / COUNT(*) AS r FROM e GROUP BY k + 1 HAVING MAX(v) > 2 AND COUNT(*) > 1").changes
+    assert c.input == "WITH e AS (SELECT k, log10(v) AS v FROM a) SELECT k + 1 AS _rv_k0, SUM".removesuffix("SUM") + "v AS _rv_a0, 1 AS _rv_a1, v AS _rv_a2 FROM e "
+    assert c.aggs == [("_rv_a0", "sum", "_rv_a0"), ("_rv_a1", "count", "_rv_a1"), ("_rv_a2", "max", "_rv_a2")]
+    assert c.outer.endswith("SELECT _rv_k0 AS `j`, _rv_a0 / _rv_a1 AS `r`, _updating_meta, _rv_seq FROM {changelog} WHERE _rv_a2 > 2 AND _rv_a1 > 1")
+    c = compiled(spark, "SELECT COUNT(DISTINCT u) AS n, MIN(v) FILTER (WHERE w) AS low FROM a").changes
+    assert (c.keys, [x[1] for x in c.aggs]) == ([], ["count_distinct", "min"]) and c.input.rstrip() == "SELECT u AS _rv_a0, CASE WHEN w THEN v END AS _rv_a1 FROM a"
+    for sql in ("SELECT MAX(n) AS m FROM (SELECT k, COUNT(*) AS n FROM a GROUP BY k) x", "SELECT x.k FROM (SELECT k, COUNT(*) AS n FROM a GROUP BY k) x JOIN b ON x.k = b.k", "SELECT SUM(DISTINCT v) AS s FROM a"):
+        with pytest.raises(PlanError):
+            compiled(spark, sql)
+
+
+def test_joins_without_windows_expire(spark):
+    sql = "SELECT x.k FROM a x JOIN b ON x.k = b.k OR x.j = b.j AND x.k = b.k WHERE x.k > 1"
+    with pytest.raises(PlanError, match="equality"):
+        compiled(spark, "SELECT x.k FROM a x JOIN b ON x.k = b.k OR x.j = b.j")
+    timed = Compiler(spark, "SELECT x.k FROM a x JOIN b ON x.k = b.k AND x.j < b.j", lambda n: n in ("a", "b"), timed=lambda n: True).compile().sql
+    assert timed == "SELECT x.k FROM a x JOIN b ON (x.k = b.k AND x.j < b.j) AND `x`._timestamp >= `b`._timestamp - INTERVAL '24' HOUR AND `x`._timestamp <= `b`._timestamp + INTERVAL '24' HOUR"
+    assert "INTERVAL" not in compiled(spark, sql.replace(" OR x.j = b.j", "")).sql
+
+
+@pytest.mark.parametrize(
+    ("sql", "said"),
+    [
+        ("SELECT concat(k, concat('x', NULL)) AS c FROM a", "SELECT concat_ws('', CAST(k AS STRING), CAST(concat_ws('', CAST('x' AS STRING), CAST(NULL AS STRING)) AS STRING)) AS c FROM a"),
+        ("SELECT EXTRACT(dow FROM t) AS d FROM a", "SELECT (dayofweek(t) - 1) AS d FROM a"),
+        ("SELECT approx_distinct(log(k)) FILTER (WHERE k > 1) AS n FROM a GROUP BY j", "SELECT approx_count_distinct(log10(k)) FILTER (WHERE k > 1) AS n FROM a GROUP BY j"),
+        ("SELECT array_has_all(x, make_array(1, 2)) AS h FROM a", "SELECT (size(array_except(array(1, 2), x)) = 0) AS h FROM a"),
+        ("SELECT to_char(t, '%Y-%m-%d at %H') AS s FROM a", "SELECT date_format(t, 'yyyy-MM-dd \\'at\\' HH') AS s FROM a"),
+    ],
+)
+def test_functions_of_the_dialect(spark, sql, said):
+    assert compiled(spark, sql, streaming=False).sql == said
+
+
+def test_functions_refused(spark):
+    for sql in ("SELECT regexp_replace(k, k, 'x') FROM a", "SELECT get_first_json_object(k, NULL) FROM a", "SELECT extract_json(k, 'no path') FROM a", "SELECT to_char(k, '%Q') FROM a", "SELECT digest(k, 'crc') FROM a", "SELECT encode(k, 'utf-7') FROM a"):
+        with pytest.raises(PlanError):
+            compiled(spark, sql, streaming=False)

@@ -70,6 +70,51 @@ def test_updating_aggregate(session, tmp_path):
     assert (refused.ok, refused.code) == (False, 400) and "debezium_json" in refused.message
 
 
+def final(session, name, columns):
+    """What is left of a changelog once all its retractions are taken back."""
+    left = {}
+    for r in session.rows(name).collect():
+        key = tuple(r[c] for c in columns)
+        left[key] = left.get(key, 0) + (-1 if r._updating_meta.is_retract else 1)
+    assert set(left.values()) <= {0, 1}
+    return sorted(k for k, n in left.items() if n)
+
+
+def test_updating_queries_of_all_shapes(session, spark):
+    """A projection above, a CTE, computed keys, HAVING, FILTER, and all rows."""
+    shapes = {
+        "a1": ("SELECT user, n * 2 AS m FROM (SELECT user, COUNT(*) AS n FROM clicks GROUP BY user) x WHERE n > 1", ["user", "m"]),
+        "a2": ("WITH e AS (SELECT user AS u, v FROM clicks WHERE v >= 10) SELECT u, COUNT(*) AS n FROM e GROUP BY u", ["u", "n"]),
+        "a3": ("SELECT user + 1 AS k, SUM(v) / COUNT(*) AS mean FROM clicks GROUP BY user + 1", ["k", "mean"]),
+        "a4": ("SELECT user, MAX(v) AS top FROM clicks GROUP BY user HAVING COUNT(*) > 5", ["user", "top"]),
+        "a5": ("SELECT COUNT(*) AS n, COUNT(DISTINCT user) AS users, MIN(v) FILTER (WHERE user = 1) AS low FROM clicks", ["n", "users", "low"]),
+        "a6": ("SELECT concat('u', user, NULL) AS name, AVG(v) AS mean FROM clicks GROUP BY name", ["name", "mean"]),
+    }
+    for name, (select, columns) in shapes.items():
+        run(session, name, select)
+        want = sorted(tuple(r) for r in session.query(select).select(*columns).collect())
+        assert final(session, name, columns) == want, name
+    for select in ("SELECT nosuch, COUNT(*) AS n FROM clicks GROUP BY nosuch", "SELECT user, n + 'x' + z AS m FROM (SELECT user, COUNT(*) AS n FROM clicks GROUP BY user) x", "SELECT user, stddev(v) AS s FROM clicks GROUP BY user"):
+        refused = session.sql(f"CREATE STREAMING TABLE bad WITH ('connector' = 'memory') AS {select}")
+        assert (refused.ok, refused.code) == (False, 400), refused
+
+
+def test_updating_decimals_are_exact(session, spark, tmp_path):
+    from decimal import Decimal
+
+    rows = [(1, Decimal("0.10")), (1, Decimal("0.20")), (2, Decimal("12345678901234.56")), (2, Decimal("0.01")), (2, Decimal("-3.00")), (3, None)]
+    path = str(tmp_path / "amounts")
+    spark.createDataFrame(rows, "k long, v decimal(18,2)").repartition(3).write.parquet(path)
+    assert session.sql(f"CREATE TABLE amounts (k BIGINT, v DECIMAL(18,2)) WITH ('connector' = 'filesystem', 'path' = '{path}', 'format' = 'parquet')").ok
+    select = "SELECT k, SUM(v) AS s, AVG(v) AS mean, MIN(v) AS low, COUNT(DISTINCT v) AS n FROM amounts GROUP BY k"
+    run(session, "m1", select)
+    want = session.query(select)
+    got = spark.createDataFrame([r for r in session.rows("m1").drop("_updating_meta", "_rv_seq").collect() if r.n or r.k == 3], session.rows("m1").drop("_updating_meta", "_rv_seq").schema)
+    assert {c: t for c, t in got.dtypes if c != "n"} == {c: t for c, t in want.dtypes if c != "n"}
+    key = lambda r: (r[0], *map(str, r[1:]))
+    assert final(session, "m1", ["k", "s", "mean", "low", "n"]) == sorted((tuple(r) for r in want.collect()), key=key)
+
+
 def test_stateless_file_sink_and_restart(session, spark, tmp_path, clicks):
     options = f"'connector'='filesystem','format'='parquet','path'='{tmp_path}/out','partition_by'='user'"
     run(session, "p1", "SELECT user, v FROM clicks WHERE v > 5", options)
@@ -114,11 +159,79 @@ def counted(words):
 
 
 def test_counter():
-    assert [(r["count"], r["total"]) for r in counted(["hello"] * 10)] == [(k, k) for k in range(1, 11)]
-    assert {r["word"]: r["count"] for r in counted("apple,banana,apple,cherry,banana,apple".split(","))} == {"apple": 3, "banana": 2, "cherry": 1}
-    out = counted([f"item-{k % 50}" for k in range(500)])
-    assert [r["total"] for r in out] == list(range(1, 501)) and out[-1]["count"] == 10
-    assert [(r["word"], r["count"]) for r in counted(["foo", "", "bar", "  ", "foo", ""])] == [("foo", 1), ("bar", 1), ("foo", 2)]
+    """Each word's own count and the running total, over any mix of words and blanks."""
+    words = [w for k in range(40) for w in ([f"w{k % 7}"] if k % 3 else [f"w{k % 7}", "\t "])]
+    seen: dict[str, int] = {}
+    out = counted(words)
+    real = [w for w in words if w.strip()]
+    assert len(out) == len(real)
+    for n, (row, word) in enumerate(zip(out, real, strict=True), start=1):
+        seen[word] = seen.get(word, 0) + 1
+        assert row == {"word": word, "count": seen[word], "total": n}
+    assert counted(["", " "]) == []
+
+
+class Watching(Processor):
+    """Emits which callbacks were made, and how often its key has been seen."""
+
+    def init(self, ctx, config):
+        self.seen = ctx.get_or_create_kv_store("seen")
+
+    def process(self, ctx, source_id, data):
+        n = int(self.seen.get_state(b"n") or b"0") + 1
+        self.seen.put_state(b"n", str(n).encode())
+        ctx.emit(b"row %d" % n, 1)
+
+    def process_watermark(self, ctx, source_id, watermark):
+        ctx.emit_watermark(watermark)
+        ctx.emit(b"source %d at %d" % (source_id, ctx.watermarks[0]))
+
+    def take_checkpoint(self, ctx, checkpoint_id):
+        ctx.emit(b"batch %d" % checkpoint_id)
+
+    def check_heartbeat(self, ctx):
+        return not ctx.config.get("ill")
+
+
+def test_callbacks_and_keys(spark, tmp_path):
+    """Watermarks by source, checkpoints by batch, a key of the task's own; a failed heartbeat ends the query."""
+    path = str(tmp_path / "in")
+    rows = [(json.dumps({"id": i}), T0 + timedelta(seconds=k)) for k, i in enumerate(["a", "b", "a", "a"])]
+    spark.createDataFrame(rows, "value string, timestamp timestamp").coalesce(1).write.parquet(path)
+    s = Session(spark, None, str(tmp_path / "cp"), available_now=True)
+    stream = lambda: spark.readStream.schema("value string, timestamp timestamp").parquet(path)
+    got = []
+    d = s.create_function(Watching, {"name": "watching", "key-by": "id"}, [stream()])
+    d.sink = lambda out, n: got.extend(bytes(r.value).decode() for r in out.collect())
+    d.start(available_now=True)
+    d.wait()
+    ms = int(T0.timestamp() * 1000)
+    assert sorted(got) == sorted(["row 1", "row 2", "row 3", f"source 0 at {ms + 3000}", "batch 1", "row 1", f"source 0 at {ms + 1000}", "batch 1"])
+    ill = s.create_function(Watching, {"name": "ill", "init-config": {"ill": True}}, [stream()])
+    ill.sink = lambda out, n: out.collect()
+    ill.start(available_now=True)
+    with pytest.raises(Exception, match="heartbeat"):
+        ill.wait()
+    assert ill.status() == "Error"
+
+
+def test_functions_are_restored(spark, tmp_path):
+    (tmp_path / "f.py").write_text("from rivulet.streaming.processor import Processor\n\n\nclass Echo(Processor):\n    def process(self, ctx, source_id, data):\n        ctx.emit(data)\n")
+    (tmp_path / "f.yaml").write_text(f"name: echo\ninput-groups:\n  - inputs:\n      - input-type: file\n        path: {tmp_path}/in\noutputs:\n  - output-type: file\n    path: {tmp_path}/out\n")
+    spark.createDataFrame([("x",), ("y",)], "value string").write.text(str(tmp_path / "in"))
+    make = lambda: Session(spark, str(tmp_path / "catalog.json"), str(tmp_path / "cp"), available_now=True)
+    first = make()
+    assert first.sql(f"CREATE FUNCTION WITH ('function_path' = '{tmp_path}/f.py', 'config_path' = '{tmp_path}/f.yaml')").ok
+    again = make()
+    assert again.sql("START FUNCTION echo").code == 404
+    again.restore()
+    assert again.sql("START FUNCTION echo").ok
+    again.functions["echo"].wait()
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/out/batch=*").collect()) == ["x", "y"]
+    assert again.sql("DROP FUNCTION echo").ok
+    third = make()
+    third.restore()
+    assert third.functions == {}
 
 
 def test_counter_as_a_stream(spark, tmp_path):
