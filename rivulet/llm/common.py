@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,14 +42,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Folders of the tables stored within each open ``scratch``, the innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """``df`` written as a table in the shared folder and read again.
 
     This cuts the lineage: the rows survive the loss of any executor, and the
-    shuffle files behind them are let go at once.
+    shuffle files behind them are let go at once. The table is deleted at the end
+    of the ``scratch`` that it is stored in; a ``lasting`` one at the end of the
+    next outer one; without a scratch it stays.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if len(_SCRATCH) > lasting:
+        _SCRATCH[-1 - lasting].append(path)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -57,15 +67,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(conf).delete(found, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside is deleted at the end; what leaves must be lasting."""
+    own: list[str] = []
+    _SCRATCH.append(own)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        for path in own:
+            delete(spark, path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by ``stored`` that nothing reads any more."""
     spark = df.sparkSession
     root = shared_dir(spark)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if folder.replace("file:///", "file:/").startswith(root.replace("file:///", "file:/")):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            delete(spark, folder)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> None:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rivulet.llm.common import fold_ascii, stored
+from rivulet.llm.common import fold_ascii, scratch, stored
 
 WINDOW = 13
 #: What words are not made of, once A-Z are folded.
@@ -169,19 +169,20 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     matches; ``items``, the ids, as sorted strings, of items with matches (at
     most as many as the benchmark has); ``n_exact`` and ``exact_items``, the
     same of exact phrases alone; ``longest``, the words of the longest phrase."""
-    index = build_index(keyed(docs, id_col, text_col), items, length)
-    found, key = stored(occurrences(index, slop), "matches"), ["k1", "k2"]
-    first, last, placed = F.col("start"), F.col("start") + F.col("size") - 1, found
-    if slop:  # within the text
-        placed = found.join(index.documents().select("k1", "k2", F.col("n_words").alias("n")).distinct(), key)
-        first, last = F.greatest(first, F.lit(0)), F.least(last, F.col("n").cast("int") - 1)
-    places = placed.select("k1", "k2", "exact", F.explode(F.sequence(first, last)).alias("pos")).groupBy("k1", "k2", "pos").agg(F.max("exact").alias("exact"))
-    hit = places.groupBy(*key).agg(F.count("*").alias("n_hit"), F.count_if("exact").alias("n_exact"))
-    named = found.groupBy("k1", "k2", "window_id").agg(F.max("exact").alias("exact"), F.max(F.when(F.col("exact"), F.col("size")).otherwise(0)).alias("longest")).join(index.of_item, "window_id")
-    named = named.groupBy(*key).agg(F.sort_array(F.collect_set("item")).alias("items"), F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("item")))).alias("exact_items"), F.max("longest").alias("longest"))
-    none, no_items = F.lit(0).cast("long"), F.array().cast("array<string>")
-    told = index.documents().join(hit.join(named, key), key, "left")
-    return told.select("doc_id", "k1", "k2", "n_words", *(F.coalesce(c, none).alias(c) for c in ("n_hit", "n_exact")), *(F.coalesce(c, no_items).alias(c) for c in ("items", "exact_items")), F.coalesce("longest", F.lit(0)).alias("longest"))
+    with scratch(docs.sparkSession):
+        index = build_index(keyed(docs, id_col, text_col), items, length)
+        found, key = stored(occurrences(index, slop), "matches"), ["k1", "k2"]
+        first, last, placed = F.col("start"), F.col("start") + F.col("size") - 1, found
+        if slop:  # within the text
+            placed = found.join(index.documents().select("k1", "k2", F.col("n_words").alias("n")).distinct(), key)
+            first, last = F.greatest(first, F.lit(0)), F.least(last, F.col("n").cast("int") - 1)
+        places = placed.select("k1", "k2", "exact", F.explode(F.sequence(first, last)).alias("pos")).groupBy("k1", "k2", "pos").agg(F.max("exact").alias("exact"))
+        hit = places.groupBy(*key).agg(F.count("*").alias("n_hit"), F.count_if("exact").alias("n_exact"))
+        named = found.groupBy("k1", "k2", "window_id").agg(F.max("exact").alias("exact"), F.max(F.when(F.col("exact"), F.col("size")).otherwise(0)).alias("longest")).join(index.of_item, "window_id")
+        named = named.groupBy(*key).agg(F.sort_array(F.collect_set("item")).alias("items"), F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("item")))).alias("exact_items"), F.max("longest").alias("longest"))
+        none, no_items = F.lit(0).cast("long"), F.array().cast("array<string>")
+        told = index.documents().join(hit.join(named, key), key, "left")
+        return stored(told.select("doc_id", "k1", "k2", "n_words", *(F.coalesce(c, none).alias(c) for c in ("n_hit", "n_exact")), *(F.coalesce(c, no_items).alias(c) for c in ("items", "exact_items")), F.coalesce("longest", F.lit(0)).alias("longest")), "contamination", lasting=True)
 
 
 def contaminated() -> Column:

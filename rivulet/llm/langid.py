@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import bounded_batches, id_bucket, stored
+from rivulet.llm.common import bounded_batches, id_bucket, scratch, stored
 
 ORDER, DEPTH, PER_LANGUAGE = 3, 400, 1500
 #: Classes of hashes to a doubling.
@@ -150,7 +150,6 @@ def _sample(docs: DataFrame, lang_col: str, text_col: str, id_col: str) -> DataF
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Profiles:
     """Profiles from the rows of ``docs`` whose language is known."""
     bounded_batches(docs.sparkSession)
-    sample = _sample(docs, lang_col, text_col, id_col)
 
     def count(batches):
         total: dict[str, Counter] = {}
@@ -161,10 +160,12 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
         rows = [(lang, k, c) for lang, grams in total.items() for k, c in grams.items() if k != _SPACE]
         yield pd.DataFrame(rows, columns=["lang", "gram", "n"])
 
-    grams = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = grams.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= DEPTH)
+    with scratch(docs.sparkSession):
+        grams = _sample(docs, lang_col, text_col, id_col).mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        top = grams.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= DEPTH)
+        rows = top.select("lang", "gram", "r").collect()  # DEPTH for each of at most LANGUAGES
     ranked: dict[str, list[int]] = {}
-    for lang, gram, _ in sorted(top.select("lang", "gram", "r").collect(), key=lambda x: (x[0], x[2])):  # DEPTH for each of at most LANGUAGES
+    for lang, gram, _ in sorted(rows, key=lambda x: (x[0], x[2])):
         ranked.setdefault(lang, []).append(gram)
     return Profiles(ranked)
 
@@ -186,8 +187,9 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", out: t
 def reject_level(docs: DataFrame, profiles: Profiles, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> float:
     """The score under which a text is like no language of the profiles, from
     the scores of the rows of ``docs`` that they are learned from."""
-    told = identify(_sample(docs, lang_col, text_col, id_col), profiles, out=("_rv_lang", "_rv_score")).where(F.col("_rv_lang") != UNKNOWN)
-    low = told.agg(F.percentile("_rv_score", F.lit(REJECT_QUANTILE))).first()[0]
+    with scratch(docs.sparkSession):
+        told = identify(_sample(docs, lang_col, text_col, id_col), profiles, out=("_rv_lang", "_rv_score")).where(F.col("_rv_lang") != UNKNOWN)
+        low = told.agg(F.percentile("_rv_score", F.lit(REJECT_QUANTILE))).first()[0]
     return min(REJECT_CAP, REJECT_SHARE * low) if low is not None else 0.0
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import bounded_batches, id_bucket, stored
+from rivulet.llm.common import bounded_batches, id_bucket, scratch, stored
 
 #: Labelled rows trained on, at most, and passages of all of them.
 SAMPLE, SAMPLE_PASSAGES = 4000, 100_000
@@ -198,19 +198,20 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return texts.map(encoded)
 
     key = ["_rv_hash", "_rv_y", "_rv_x"]
-    bags = stored(own.select("_rv_hash", "_rv_y", bag("_rv_text").alias("x")).where("x is not null").withColumn("_rv_x", F.xxhash64("x")), "bags")
-    sizes = bags.groupBy(*key).agg(F.count("*").alias("c"), F.first(F.octet_length("x")).alias("size")).orderBy(*key).limit(SAMPLE).collect()
-    fit, n_rows, n_passages = [], 0, 0
-    for r in sizes:
-        more = r["c"] * (r["size"] // (2 * (HASHED + SHAPE)))
-        if n_rows + r["c"] <= SAMPLE and n_passages + more <= SAMPLE_PASSAGES:
-            fit.append(tuple(r[k] for k in key))
-            n_rows, n_passages = n_rows + r["c"], n_passages + more
-    model = Model()
-    if fit:
-        taken = docs.sparkSession.createDataFrame(fit, bags.select(*key).schema)
-        rows = bags.join(F.broadcast(taken), key, "left_semi").toPandas().sort_values(key, kind="stable")
-        model.fit([np.frombuffer(x, np.float16).reshape(-1, HASHED + SHAPE) for x in rows["x"]], rows["_rv_y"].to_numpy(np.float64))
+    with scratch(docs.sparkSession):
+        bags = stored(own.select("_rv_hash", "_rv_y", bag("_rv_text").alias("x")).where("x is not null").withColumn("_rv_x", F.xxhash64("x")), "bags")
+        sizes = bags.groupBy(*key).agg(F.count("*").alias("c"), F.first(F.octet_length("x")).alias("size")).orderBy(*key).limit(SAMPLE).collect()
+        fit, n_rows, n_passages = [], 0, 0
+        for r in sizes:
+            more = r["c"] * (r["size"] // (2 * (HASHED + SHAPE)))
+            if n_rows + r["c"] <= SAMPLE and n_passages + more <= SAMPLE_PASSAGES:
+                fit.append(tuple(r[k] for k in key))
+                n_rows, n_passages = n_rows + r["c"], n_passages + more
+        model = Model()
+        if fit:
+            taken = docs.sparkSession.createDataFrame(fit, bags.select(*key).schema)
+            rows = bags.join(F.broadcast(taken), key, "left_semi").toPandas().sort_values(key, kind="stable")
+            model.fit([np.frombuffer(x, np.float16).reshape(-1, HASHED + SHAPE) for x in rows["x"]], rows["_rv_y"].to_numpy(np.float64))
     return model
 
 

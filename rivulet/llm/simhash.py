@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import bounded_batches, stored
+from rivulet.llm.common import bounded_batches, scratch, stored
 from rivulet.llm.components import connected_components
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
@@ -86,12 +86,13 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """One row per row of ``df``: its id, ``fingerprint`` (long) and
     ``component_id``, the least id reachable over links of at most ``radius``
     bits (null ids count as greatest)."""
-    docs = stored(with_fingerprint(df.select(F.col(id_col), F.col(text_col).alias("_rv_text")), "_rv_text", "fingerprint", shingle).drop("_rv_text"), "prints")
-    least = docs.groupBy("fingerprint").agg(F.min(id_col).alias("_rv_least"))
-    roots = connected_components(links(docs.select("fingerprint").distinct(), radius))
-    joined = least.join(roots, least.fingerprint == roots.node, "left").select("fingerprint", "_rv_least", F.coalesce("root", "fingerprint").alias("_rv_root"))
-    named = joined.join(joined.groupBy("_rv_root").agg(F.min("_rv_least").alias("component_id")), "_rv_root")
-    return docs.join(named.select("fingerprint", "component_id"), "fingerprint").select(id_col, "fingerprint", "component_id")
+    with scratch(df.sparkSession):
+        docs = stored(with_fingerprint(df.select(F.col(id_col), F.col(text_col).alias("_rv_text")), "_rv_text", "fingerprint", shingle).drop("_rv_text"), "prints")
+        least = docs.groupBy("fingerprint").agg(F.min(id_col).alias("_rv_least"))
+        roots = connected_components(links(docs.select("fingerprint").distinct(), radius))
+        joined = least.join(roots, least.fingerprint == roots.node, "left").select("fingerprint", "_rv_least", F.coalesce("root", "fingerprint").alias("_rv_root"))
+        named = joined.join(joined.groupBy("_rv_root").agg(F.min("_rv_least").alias("component_id")), "_rv_root")
+        return stored(docs.join(named.select("fingerprint", "component_id"), "fingerprint").select(id_col, "fingerprint", "component_id"), "components", lasting=True)
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -100,11 +101,12 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     d, t = F.col(id_col), F.col(text_col)
     keys = {"_rv_k1": F.xxhash64(d.cast("string"), d.isNull()), "_rv_k2": F.xxhash64(F.coalesce(t, F.lit("")))}
     own = df.select(d.isNull().alias("_rv_null"), d.alias("_rv_id"), keys["_rv_k2"].alias("_rv_k2"), keys["_rv_k1"].alias("_rv_k1"), t.alias("_rv_text"))
-    prints = stored(with_fingerprint(own, "_rv_text", "fingerprint", shingle).drop("_rv_text"), "prints")
-    first = prints.groupBy("fingerprint").agg(F.min(F.struct("_rv_null", "_rv_id", "_rv_k2", "_rv_k1")).alias("_rv_first"))
-    roots = connected_components(links(prints.select("fingerprint").distinct(), radius))
-    joined = first.join(roots, first.fingerprint == roots.node, "left").select(F.coalesce("root", "fingerprint").alias("_rv_root"), "_rv_first")
-    chosen = joined.groupBy("_rv_root").agg(F.min("_rv_first").alias("f")).select("f._rv_k1", "f._rv_k2")
+    with scratch(df.sparkSession):
+        prints = stored(with_fingerprint(own, "_rv_text", "fingerprint", shingle).drop("_rv_text"), "prints")
+        first = prints.groupBy("fingerprint").agg(F.min(F.struct("_rv_null", "_rv_id", "_rv_k2", "_rv_k1")).alias("_rv_first"))
+        roots = connected_components(links(prints.select("fingerprint").distinct(), radius))
+        joined = first.join(roots, first.fingerprint == roots.node, "left").select(F.coalesce("root", "fingerprint").alias("_rv_root"), "_rv_first")
+        chosen = stored(joined.groupBy("_rv_root").agg(F.min("_rv_first").alias("f")).select("f._rv_k1", "f._rv_k2"), "chosen", lasting=True)
     kept = df.withColumns(keys).join(chosen, ["_rv_k1", "_rv_k2"], "left_semi")
     return kept.dropDuplicates(["_rv_k1", "_rv_k2"]).select(*df.columns)
 

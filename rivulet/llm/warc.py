@@ -36,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import bounded_batches, fresh_path, stored
+from rivulet.llm.common import bounded_batches, delete, fresh_path, scratch, stored
 from rivulet.llm.urlfilter import host
 
 #: An archive file is closed after so many bytes.
@@ -262,14 +262,20 @@ def read_records(captures: DataFrame, root: str, n_bytes: int | None = None) ->
 
 
 def digest(pages: DataFrame) -> DataFrame:
-    """The query's rows: every page's record, found through the index and read back."""
+    """The query's rows: every page's record, found through the index and read
+    back. Archives and index are deleted once read."""
     spark = pages.sparkSession
     archives, index = fresh_path(spark, "warc"), fresh_path(spark, "index")
-    captures = write_archives(pages, archives)
-    shards = build_index(captures, index)
-    queries = pages.select(url_key(F.col("url")).alias("url_key"), "page_id").distinct()
-    size = captures.agg(F.sum("length")).first()[0] or 0
-    return read_records(lookup(queries, shards, index), archives, size).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    with scratch(spark):
+        captures = write_archives(pages, archives)
+        shards = build_index(captures, index)
+        queries = pages.select(url_key(F.col("url")).alias("url_key"), "page_id").distinct()
+        size = captures.agg(F.sum("length")).first()[0] or 0
+        found = read_records(lookup(queries, shards, index), archives, size)
+        rows = stored(found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records", lasting=True)
+    for folder in (archives, index):
+        delete(spark, folder)
+    return rows
 
 
 #: DuckDB has hexadecimal SHA-1; base32 is spelled out of its bits, five at a time.
