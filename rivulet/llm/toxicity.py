@@ -8,15 +8,19 @@ voters (no lexicon of a kind fits). A voter says toxic, clean, or abstains.
 
 A generative label model estimates each voter's behaviour given the class by
 expectation maximisation, anchored by the labelled rows, and the correlations
-of voters within a class; a voter that repeats others is discounted for it. A
-linear classifier (logistic, L1) is then trained on the posterior labels of all
-sampled rows, labelled or not, and is what scores.
+of voters within a class; a voter that repeats others is discounted for it. It
+sees the votes of every row outside the held-out part, labelled or not: votes
+are counted by pattern (at most 2^18, as lexicon and pattern voters are yes or
+no), and the rows without a label weigh ``UNLABELLED_WEIGHT`` of the labelled
+ones together, however many they are. A linear classifier (logistic, L1) is then
+trained on the posterior labels of the labelled sample, and is what scores.
 
 Labels come only from rows whose crc32 of the id modulo 3 is not 1, at most
-``LABELLED`` of them, beside at most ``UNLABELLED`` rows without a label: those
-of least hash of the id. Label, language, source and id are no inputs of a
-score. Null and empty texts have no features and get the intercept's score.
-Whole texts count; repeated rows get equal scores.
+``LABELLED`` of them, those of least hash of the id: a documented, bounded
+sample. The classifier knows every feature of the sample with ``LEAST_SUPPORT``
+rows and an association of ``LEAST_KNOWN``. Label, language, source and id are
+no inputs of a score. Null and empty texts have no features and get the
+intercept's score. Whole texts count; repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -30,11 +34,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import bounded_batches, id_bucket
+from rivulet.llm.common import bounded_batches, id_bucket, scratch, stored
 
-LABELLED, UNLABELLED = 12_000, 3_000
-#: Features that the classifier knows, at most, those with the strongest association.
-VOCABULARY = 20_000
+#: Labelled rows learned from, at most; weight of all rows without a label beside them.
+LABELLED, UNLABELLED_WEIGHT = 12_000, 1.0
+#: What a feature of the classifier needs: rows, likelihood ratio statistic.
+LEAST_SUPPORT, LEAST_KNOWN = 2, 2.0
 #: What a lexicon's feature needs: toxic rows, likelihood ratio statistic, precision.
 LEAST_ROWS, LEAST_G2, LEAST_PRECISION = 3, 16.0, 0.8
 AFFIXES = (4, 5, 6)
@@ -102,30 +107,32 @@ class LabelModel:
 
     Votes are 1 (toxic), 0 (clean) and -1 (abstains)."""
 
-    def __init__(self, votes: np.ndarray, labels: np.ndarray) -> None:
-        """``labels`` has 0 or 1 for the anchoring rows and -1 for the others."""
-        known = labels >= 0
-        self.prior = float(np.clip(labels[known].mean() if known.any() else 0.1, 0.01, 0.99))
+    def __init__(self, votes: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> None:
+        """``labels`` has 0 or 1 for the anchoring rows and -1 for the others;
+        ``weights``, how many rows each stands for (1 without)."""
+        known, w = labels >= 0, np.ones(len(labels)) if weights is None else weights
+        self.prior = float(np.clip(np.average(labels[known], weights=w[known]) if known.any() else 0.1, 0.01, 0.99))
         onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(np.float64)
         q = np.where(known, labels, self.prior).astype(np.float64)
         # only the anchoring rows speak in the first round
-        self._estimate(onehot[known], q[known])
-        self._correlate(votes[known], q[known])
+        self._estimate(onehot[known], q[known], w[known])
+        self._correlate(votes[known], q[known], w[known])
         for _ in range(EM_ROUNDS):
             q = np.where(known, labels, self.posterior(votes))
-            self._estimate(onehot, q)
-            self._correlate(votes, q)
+            self._estimate(onehot, q, w)
+            self._correlate(votes, q, w)
 
-    def _estimate(self, onehot: np.ndarray, q: np.ndarray) -> None:
-        on = (q[:, None, None] * onehot).sum(axis=0) + 0.1
-        off = ((1 - q)[:, None, None] * onehot).sum(axis=0) + 0.1
+    def _estimate(self, onehot: np.ndarray, q: np.ndarray, w: np.ndarray) -> None:
+        on = ((w * q)[:, None, None] * onehot).sum(axis=0) + 0.1
+        off = ((w * (1 - q))[:, None, None] * onehot).sum(axis=0) + 0.1
         self.evidence = np.log(on / on.sum(axis=1, keepdims=True)) - np.log(off / off.sum(axis=1, keepdims=True))
-        self.prior = float(np.clip(q.mean(), 0.005, 0.995))
+        if w.sum():
+            self.prior = float(np.clip(np.average(q, weights=w), 0.005, 0.995))
 
-    def _correlate(self, votes: np.ndarray, q: np.ndarray) -> None:
+    def _correlate(self, votes: np.ndarray, q: np.ndarray, weights: np.ndarray) -> None:
         """Correlations within the classes; the discount of each voter."""
         total = np.zeros((votes.shape[1],) * 2)
-        for w in (q, 1 - q):
+        for w in (weights * q, weights * (1 - q)):
             if w.sum() > 1:
                 x = votes - (w[:, None] * votes).sum(axis=0) / w.sum()
                 cov = (w[:, None] * x).T @ x
@@ -169,14 +176,45 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, n: int) -> tuple[np.n
     return w, bias
 
 
+class Voters:
+    """Lexicon voters by their features, and the pattern voters; a text's votes
+    are one number, a bit for each voter that says toxic."""
+
+    def __init__(self, speaking: list[str]) -> None:
+        """The features that speak for toxicity, strongest first; each kind's are
+        dealt to its voters in turn."""
+        self.deal: dict[str, int] = {}
+        first = 0
+        for what, n in VOTERS.items():
+            for k, f in enumerate(f for f in speaking if kind(f) == what):
+                self.deal[f] = first + k % n
+            first += n
+        self.lexicon, self.first_pattern = Vocabulary(self.deal), first
+
+    def code(self, text: str | None) -> int:
+        told = sum(1 << j for j in self.lexicon.of(text))
+        return told | sum(1 << self.first_pattern + j for j, fits in enumerate(PATTERNS.values()) if fits(text or ""))
+
+    @staticmethod
+    def votes(codes: np.ndarray) -> np.ndarray:
+        """Votes of each voter: the lexicons of a kind and, after them, its clean
+        voter; then the patterns."""
+        bit = lambda j: codes >> j & 1 == 1
+        out, first = [], 0
+        for n in VOTERS.values():
+            fits = [bit(first + j) for j in range(n)]
+            out += [np.where(f, 1, -1) for f in fits]
+            out.append(np.where(np.any(fits, axis=0), -1, 0))
+            first += n
+        out += [np.where(bit(first + j), 1, -1) for j in range(len(PATTERNS))]
+        return np.stack(out, axis=1)
+
+
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """The bounded sample: text, y (0, 1, or -1 without a label) and the hash of the id."""
+    """The bounded sample: text, y (0 or 1) and the hash of the id."""
     i = F.col(id_col)
     usable = labels.where(F.col(label_col).isNotNull() & i.isNotNull()).groupBy(i.alias("_rv_id")).agg(F.min(label_col).cast("int").alias("_rv_y"))
-    order = ["_rv_hash", "_rv_id"]
-    labelled = usable.where(~held_out(F.col("_rv_id"))).withColumn("_rv_hash", F.xxhash64("_rv_id")).orderBy(*order).limit(LABELLED)
-    others = docs.select(i.alias("_rv_id")).where(i.isNotNull() & ~held_out(i)).join(usable, "_rv_id", "left_anti").select("_rv_id", F.lit(-1).alias("_rv_y"), F.xxhash64("_rv_id").alias("_rv_hash")).orderBy(*order).limit(UNLABELLED)
-    chosen = labelled.unionByName(others)
+    chosen = usable.where(~held_out(F.col("_rv_id"))).withColumn("_rv_hash", F.xxhash64("_rv_id")).orderBy("_rv_hash", "_rv_id").limit(LABELLED)
     return docs.select(i.alias("_rv_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_rv_id").select("text", F.col("_rv_y").alias("y"), F.col("_rv_hash").alias("h"))
 
 
@@ -194,44 +232,40 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         out = [(f, c if y else 0, 0 if y else c) for y in (0, 1) for f, c in seen[y].items()]
         yield pd.DataFrame([*out, ("", rows[1], rows[0])], columns=["feature", "t", "n"])
 
-    tallies = sample.where("y >= 0").select("text", "y").mapInPandas(count, "feature string, t long, n long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).where("t + n >= 2")
-    tallies = tallies.cache()
-    whole = tallies.where("feature = ''").first()
-    toxic, clean = (float(whole["t"]), float(whole["n"])) if whole else (0.0, 0.0)
-    strong = tallies.where("feature != ''").withColumn("g", F.round(_g2(F.col("t"), F.col("n"), toxic, clean), 6)).orderBy(F.desc("g"), "feature").limit(VOCABULARY).collect()
-    tallies.unpersist()
+    with scratch(docs.sparkSession):
+        tallies = sample.select("text", "y").mapInPandas(count, "feature string, t long, n long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+        tallies = stored(tallies.where((F.col("feature") == "") | (F.col("t") + F.col("n") >= LEAST_SUPPORT)), "tallies")
+        whole = tallies.where("feature = ''").first()
+        toxic, clean = (float(whole["t"]), float(whole["n"])) if whole else (0.0, 0.0)
+        strong = tallies.where("feature != ''").withColumn("g", F.round(_g2(F.col("t"), F.col("n"), toxic, clean), 6)).where(F.col("g") >= LEAST_KNOWN).collect()  # features of the sample
     strong.sort(key=lambda r: (-r["g"], r["feature"]))
     vocabulary = {r["feature"]: k for k, r in enumerate(strong)}
-    speaking = [r for r in strong if r["t"] >= LEAST_ROWS and r["g"] >= LEAST_G2 and r["t"] >= LEAST_PRECISION * (r["t"] + r["n"])]
-    known = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
+    voters = Voters([r["feature"] for r in strong if r["t"] >= LEAST_ROWS and r["g"] >= LEAST_G2 and r["t"] >= LEAST_PRECISION * (r["t"] + r["n"])])
+    shared = docs.sparkSession.sparkContext.broadcast((Vocabulary(vocabulary), voters))
 
-    @F.pandas_udf("found array<int>, patterns array<boolean>")
+    @F.pandas_udf("found array<int>, code long")
     def found(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"found": [sorted(known.value.of(t)) for t in texts], "patterns": [[f(t or "") for f in PATTERNS.values()] for t in texts]})
+        known, voters = shared.value
+        return pd.DataFrame({"found": [sorted(known.of(t)) for t in texts], "code": [voters.code(t) for t in texts]})
+
+    @F.pandas_udf("long")
+    def code(texts: pd.Series) -> pd.Series:
+        return texts.map(shared.value[1].code)
 
-    rows = sample.select("h", "y", found("text").alias("x")).select("h", "y", "x.found", "x.patterns").toPandas()
+    rows = sample.select("h", "y", found("text").alias("x")).select("h", "y", "x.found", "x.code").toPandas()
     rows["key"] = rows["found"].map(lambda x: tuple(x[:8]))
-    rows = rows.sort_values(["h", "y", "key"], kind="stable")
+    rows = rows.sort_values(["h", "y", "code", "key"], kind="stable")
     present = [np.asarray(x, np.int64) for x in rows["found"]]
     if not present:
         return Classifier({}, np.zeros(0), -5.0)
-    votes = []
-    at = np.repeat(np.arange(len(present)), [len(x) for x in present])
-    flat = np.concatenate(present)
-    for what, n in VOTERS.items():
-        own = [vocabulary[r["feature"]] for r in speaking if kind(r["feature"]) == what]
-        fits = np.zeros((len(present), n), bool)
-        deal = np.full(len(vocabulary) + 1, -1)
-        deal[own] = np.arange(len(own)) % n
-        told = deal[flat] >= 0
-        fits[at[told], deal[flat[told]]] = True
-        votes += [np.where(fits[:, j], 1, -1) for j in range(n)]
-        votes.append(np.where(fits.any(axis=1), -1, 0))
-    for j in range(len(PATTERNS)):
-        votes.append(np.where(rows["patterns"].map(lambda p, j=j: bool(p[j])), 1, -1))
-    model = LabelModel(np.stack(votes, axis=1), rows["y"].to_numpy())
-    target = model.posterior(np.stack(votes, axis=1))
-    return Classifier(vocabulary, *fit_linear(present, target, len(vocabulary)))
+    patterns = docs.where(~held_out(F.col(id_col))).select(code(F.col(text_col)).alias("code")).groupBy("code").agg(F.count("*").alias("c")).collect()
+    every = sorted((r["code"], r["c"]) for r in patterns)
+    own, size = Voters.votes(rows["code"].to_numpy(np.int64)), len(rows)
+    weights = np.array([c for _, c in every], np.float64)
+    weights *= UNLABELLED_WEIGHT * size / max(1.0, weights.sum())
+    votes = np.concatenate([own, Voters.votes(np.array([c for c, _ in every], np.int64))]) if every else own
+    model = LabelModel(votes, np.concatenate([rows["y"].to_numpy(np.int64), np.full(len(every), -1)]), np.concatenate([np.ones(size), weights]))
+    return Classifier(vocabulary, *fit_linear(present, model.posterior(own), len(vocabulary)))
 
 
 def classify(docs: DataFrame, classifier: Classifier, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
