@@ -12,9 +12,11 @@ and forgotten.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import Decimal
+from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,19 +30,30 @@ FUNCTIONS = ("count", "sum", "avg", "min", "max", "count_distinct")
 DAY_MS = 24 * 3600 * 1000
 
 
-def _kept(state: dict, name: str, fn: str, value, sign: int) -> None:
-    """Take a value in (sign 1) or out (-1)."""
-    if value is None:
+def _kept(state: dict, name: str, fn: str, values: pd.Series, known: np.ndarray, signs: np.ndarray, plain: Callable) -> None:
+    """Take a batch's known values in (sign 1) or out (-1), equal ones at once."""
+    values, signs = values[known], signs[known]
+    if not len(values):
         return
     if fn in ("min", "max", "count_distinct"):
         seen = state.setdefault(name, {})
-        key = json.dumps(value)
-        seen[key] = seen.get(key, 0) + sign
-        if seen[key] == 0:
-            del seen[key]
-    else:
-        n, s = state.setdefault(name, [0, 0])
-        state[name] = [n + sign, s + sign * value if fn != "count" else 0]
+        try:
+            counted = pd.Series(signs).groupby(values.to_numpy(), sort=False).sum()
+        except TypeError:  # lists and the like
+            counted = pd.Series(signs).groupby(values.map(str).to_numpy(), sort=False).sum()
+        for value, n in counted.items():
+            key = json.dumps(plain(value))
+            seen[key] = seen.get(key, 0) + int(n)
+            if seen[key] == 0:
+                del seen[key]
+        return
+    n, s = state.setdefault(name, [0, 0])
+    if fn != "count":
+        if pd.api.types.is_float_dtype(values.dtype):
+            s += float((values.to_numpy(np.float64) * signs).sum())
+        else:  # exact, however large
+            s += sum(sign * plain(v) for v, sign in zip(values, signs.tolist(), strict=True))
+    state[name] = [n + int(signs.sum()), s]
 
 
 def _result(state: dict, name: str, fn: str, scale: int | None = None):
@@ -77,7 +90,7 @@ def updating_aggregate(df: DataFrame, keys: list[str], aggs: list[tuple[str, str
     gone = F.col(f"{META}.is_retract") if META in df.columns else F.lit(False)
     rows = df.select(*keys, *(F.expr(arg).alias(f"_rv_{out}") for out, _, arg in aggs), gone.alias("_rv_gone"))
     kinds: dict[str, T.DataType] = {"count": T.LongType(), "count_distinct": T.LongType(), "avg": T.DoubleType()}
-    fields, scales = [rows.schema[k] for k in keys], {}
+    fields, scales, whole = [rows.schema[k] for k in keys], {}, []
     for out, fn, _ in aggs:
         given = rows.schema[f"_rv_{out}"].dataType
         if isinstance(given, T.DecimalType) and fn not in ("count", "count_distinct"):
@@ -87,6 +100,9 @@ def updating_aggregate(df: DataFrame, keys: list[str], aggs: list[tuple[str, str
             elif fn == "sum":
                 given = T.DecimalType(min(38, given.precision + 10), given.scale)
         wide = T.LongType() if isinstance(given, T.IntegralType) else T.DoubleType() if isinstance(given, (T.FloatType, T.DoubleType)) else given
+        if isinstance(given, T.IntegralType):  # whole numbers with nulls among them would become floats in Python
+            whole.append(out)
+            rows = rows.withColumn(f"_rv_null_{out}", F.col(f"_rv_{out}").isNull()).withColumn(f"_rv_{out}", F.coalesce(f"_rv_{out}", F.lit(0).cast(given)))
         if fn in ("min", "max") and not isinstance(given, (T.NumericType, T.StringType, T.BooleanType)):
             raise PlanError(f"{fn} of {given.simpleString()} is not kept in updating aggregates")
         fields.append(T.StructField(out, kinds.get(out, wide) if out in scales else kinds.get(fn, wide)))
@@ -94,11 +110,10 @@ def updating_aggregate(df: DataFrame, keys: list[str], aggs: list[tuple[str, str
     names = [out for out, _, _ in aggs]
 
     def plain(out: str, value):
-        if pd.isna(value):
-            return None
         if isinstance(value, Decimal):
             return int(value.scaleb(scales[out])) if out in scales else str(value)
-        return value.item() if hasattr(value, "item") else value
+        value = value.item() if hasattr(value, "item") else value
+        return value if isinstance(value, (str, int, float, bool)) else str(value)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {"rows": 0, "state": {}}
@@ -108,11 +123,12 @@ def updating_aggregate(df: DataFrame, keys: list[str], aggs: list[tuple[str, str
             after = None
         else:
             for batch in batches:
-                for row in batch.to_dict("records"):
-                    sign = -1 if row["_rv_gone"] else 1
-                    held["rows"] += sign
-                    for out, fn, _ in aggs:
-                        _kept(held["state"], out, fn, plain(out, row[f"_rv_{out}"]), sign)
+                signs = np.where(batch["_rv_gone"].to_numpy(bool), -1, 1)
+                held["rows"] += int(signs.sum())
+                for out, fn, _ in aggs:
+                    values = batch[f"_rv_{out}"]
+                    known = ~batch[f"_rv_null_{out}"].to_numpy(bool) if out in whole else values.notna().to_numpy()
+                    _kept(held["state"], out, fn, values, known, signs, partial(plain, out))
             after = [_result(held["state"], out, fn, scales.get(out)) for out, fn, _ in aggs] if held["rows"] > 0 else None
             if after is None:
                 if state.exists:

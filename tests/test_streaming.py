@@ -99,6 +99,19 @@ def test_updating_queries_of_all_shapes(session, spark):
         assert (refused.ok, refused.code) == (False, 400), refused
 
 
+def test_updating_whole_numbers_are_exact(session, spark, tmp_path):
+    """Beside nulls, beyond what a double holds; distinct lists and times too."""
+    big = 2**60 + 1
+    rows = [(1, big, [1, 2], T0), (1, None, [1, 2], T0), (1, 2, [3], None), (2, None, None, None), (3, big, [1], T0), (3, big, [1], T0)]
+    path = str(tmp_path / "whole")
+    spark.createDataFrame(rows, "k long, v long, xs array<int>, t timestamp").repartition(3).write.parquet(path)
+    assert session.sql(f"CREATE TABLE whole (k BIGINT, v BIGINT, xs ARRAY<INT>, t TIMESTAMP) WITH ('connector' = 'filesystem', 'path' = '{path}', 'format' = 'parquet')").ok
+    select = "SELECT k, SUM(v) AS s, MAX(v) AS top, COUNT(v) AS n, COUNT(DISTINCT xs) AS lists, COUNT(DISTINCT t) AS times FROM whole GROUP BY k"
+    run(session, "w1", select)
+    columns = ["k", "s", "top", "n", "lists", "times"]
+    assert final(session, "w1", columns) == sorted(tuple(r) for r in session.query(select).collect())
+
+
 def test_updating_decimals_are_exact(session, spark, tmp_path):
     from decimal import Decimal
 
