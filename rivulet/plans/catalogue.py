@@ -6,6 +6,7 @@ cents, times without a zone.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -644,6 +645,28 @@ _session(
 )
 
 
+@register("updating_stream", "SELECT event_type, count(*) * 2 AS twice, max(user_id) AS top, count(DISTINCT user_id) AS users, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE value > 10 GROUP BY event_type HAVING count(*) > 5")
+def updating_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A continuous query run until its input ends; its changelog is replayed: what
+    is retracted goes, and each row must be appended once more than it is retracted."""
+    from rivulet.streaming.session import Session
+
+    session = Session(spark, available_now=True)
+    name = f"replayed_{uuid.uuid4().hex}"
+    made = session.sql(
+        f"""
+        CREATE TABLE events ({_COLUMNS["events"]}) WITH ('connector' = 'filesystem', 'format' = 'parquet', 'path' = '{sf_dir}/events.parque[t]');
+        CREATE STREAMING TABLE {name} WITH ('connector' = 'memory') AS
+        SELECT event_type, n * 2 AS twice, top, users, ids FROM (
+          SELECT event_type, COUNT(*) AS n, MAX(user_id) AS top, COUNT(DISTINCT user_id) AS users, SUM(event_id) AS ids FROM events WHERE value > 10 GROUP BY event_type HAVING COUNT(*) > 5) x
+        """
+    )
+    if not made.ok or not session.wait(name, 600):
+        raise ValueError(made.message or "the query did not end")
+    sign = F.when(F.col("_updating_meta.is_retract"), -1).otherwise(1)
+    return session.rows(name).groupBy("event_type", "twice", "top", "users", "ids").agg(F.sum(sign).alias("left")).where("left = 1").drop("left")
+
+
 class _Words:
     """A table function: the words of a name and their places."""
 
