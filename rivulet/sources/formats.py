@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,34 +16,36 @@ from rivulet.plans.types import UNSIGNED
 _BAD = "_rv_bad_record"
 
 
-def decode_json(records: DataFrame, schema: T.StructType, bad_data: str = "fail", value: str = "value") -> DataFrame:
+def decode_json(records: DataFrame, schema: T.StructType, bad_data: str = "fail", value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """A row for each JSON record; fields not in the schema are ignored. Bad
-    records fail the query or are dropped; empty records (tombstones) go."""
-    text = records.where(F.col(value).isNotNull()).select(F.col(value).cast("string").alias("_rv_text"))
+    records fail the query or are dropped; empty records (tombstones) go. The
+    columns of ``keep`` stay beside the fields."""
+    text = records.where(F.col(value).isNotNull()).select(F.col(value).cast("string").alias("_rv_text"), *keep)
     if bad_data == "drop":  # no JSON, or a field of another type
         marked = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-        read = text.select(F.from_json("_rv_text", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}).alias("r"))
-        return read.where(F.col("r").isNotNull() & F.col(f"r.{_BAD}").isNull()).select("r.*").drop(_BAD)
-    return text.select(F.from_json("_rv_text", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+        read = text.select(F.from_json("_rv_text", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}).alias("r"), *keep)
+        return read.where(F.col("r").isNotNull() & F.col(f"r.{_BAD}").isNull()).select("r.*", *keep).drop(_BAD)
+    return text.select(F.from_json("_rv_text", schema, {"mode": "FAILFAST"}).alias("r"), *keep).select("r.*", *keep)
 
 
-def unframe(records: DataFrame, value: str = "value", max_length: int | None = None) -> DataFrame:
+def unframe(records: DataFrame, value: str = "value", max_length: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """One record for each line of a record; longer lines than allowed are cut."""
     line = F.explode(F.split(F.col(value).cast("string"), "\n")).alias(value)
-    out = records.select(line).where(F.col(value) != "")
-    return out.select(F.substring(value, 1, max_length).alias(value)) if max_length else out
+    out = records.select(line, *keep).where(F.col(value) != "")
+    return out.select(F.substring(value, 1, max_length).alias(value), *keep) if max_length else out
 
 
-def decode(records: DataFrame, fmt: str, schema: T.StructType, bad_data: str = "fail") -> DataFrame:
+def decode(records: DataFrame, fmt: str, schema: T.StructType, bad_data: str = "fail", keep: Sequence[str] = ()) -> DataFrame:
+    """The rows of records; the columns of ``keep`` (a record's metadata) stay."""
     if fmt == "json":
-        return decode_json(records, schema, bad_data)
+        return decode_json(records, schema, bad_data, keep=keep)
     if fmt == "debezium_json":
         row = T.StructType([T.StructField("before", schema), T.StructField("after", schema), T.StructField("op", T.StringType())])
-        return decode_json(records, row, bad_data)
+        return decode_json(records, row, bad_data, keep=keep)
     if fmt == "raw_string":
-        return records.select(F.col("value").cast("string").alias("value"))
+        return records.select(F.col("value").cast("string").alias("value"), *keep)
     if fmt == "raw_bytes":
-        return records.select(F.col("value").cast("binary").alias("value"))
+        return records.select(F.col("value").cast("binary").alias("value"), *keep)
     raise PlanError(f"format '{fmt}' cannot be decoded from records")
 
 

@@ -11,6 +11,7 @@ from rivulet.errors import PlanError
 from rivulet.operators.cdc import META, unroll
 from rivulet.plans.catalog import TableDef
 from rivulet.plans.options import Options
+from rivulet.plans.types import spark_type
 from rivulet.sources.formats import decode, in_range, unframe
 
 TIME = "_timestamp"
@@ -65,6 +66,25 @@ def _files(spark: SparkSession, table: TableDef, streaming: bool) -> DataFrame:
     return reader.format("text").load(path)
 
 
+#: What a record carries beside its value, by the names that tables use.
+METADATA = {"key": "key", "offset": "offset", "offset_id": "offset", "partition": "partition", "topic": "topic", "timestamp": "timestamp"}
+
+
+def _decoded(rows: DataFrame, table: TableDef, o: Options) -> DataFrame:
+    """The columns of a table's records, metadata columns among them."""
+    wanted = {c.name: c.expr.removeprefix("metadata:").lower() for c in table.columns if (c.expr or "").startswith("metadata:")}
+    for name, what in wanted.items():
+        if METADATA.get(what) not in rows.columns:
+            raise PlanError(f"column {name}: the {table.adapter} connector has no metadata {what!r}")
+    kept = {name: f"_rv_meta_{name}" for name in wanted}
+    rows = rows.withColumns({kept[name]: F.col(METADATA[what]) for name, what in wanted.items()}) if kept else rows
+    if o.get("framing.method") == "newline":
+        rows = unframe(rows, max_length=o.integer("framing.max_line_length", None), keep=list(kept.values()))
+    out = decode(rows, table.format, table.schema(), o.get("bad_data", "fail"), list(kept.values()))
+    types = {c.name: spark_type(c.type) for c in table.columns}
+    return out.withColumns({name: F.col(k).cast(types[name]) for name, k in kept.items()}).drop(*kept.values()) if kept else out
+
+
 def load(spark: SparkSession, table: TableDef, streaming: bool, memory: dict[str, DataFrame] | None = None) -> DataFrame:
     """The table's rows with their hidden time, watermarked on a stream."""
     o = Options(table.options)
@@ -74,7 +94,7 @@ def load(spark: SparkSession, table: TableDef, streaming: bool, memory: dict[str
         rows = memory[table.name]
         if streaming and not rows.isStreaming:
             raise PlanError(f"the rows bound to {table.name} are no stream")
-        decoded = rows if "value" not in rows.columns or table.schema().fieldNames() == rows.columns else decode(rows, table.format, table.schema(), o.get("bad_data", "fail"))
+        decoded = rows if "value" not in rows.columns or table.schema().fieldNames() == rows.columns else _decoded(rows, table, o)
     elif table.adapter == "rate":
         decoded = spark.readStream.format("rate").option("rowsPerSecond", o.get("rate_limit.messages_per_second", "1")).load() if streaming else spark.range(0).select(F.current_timestamp().alias("timestamp"), F.col("id").alias("value"))
     elif table.adapter == "blackhole":
@@ -84,12 +104,7 @@ def load(spark: SparkSession, table: TableDef, streaming: bool, memory: dict[str
         if table.format in ("parquet", "csv"):
             decoded = rows
         else:
-            if o.get("framing.method") == "newline":
-                rows = unframe(rows, max_length=o.integer("framing.max_line_length", None))
-            metadata = [c for c in rows.columns if c in ("key", "offset", "partition", "topic", "timestamp")]
-            decoded = decode(rows, table.format, table.schema(), o.get("bad_data", "fail"))
-            if metadata and any((c.expr or "").startswith("metadata:") for c in table.columns):
-                raise PlanError("metadata columns need the raw format")
+            decoded = _decoded(rows, table, o)
     if table.updating:
         decoded = unroll(decoded, table.primary_key)
     decoded = in_range(decoded, table.columns)

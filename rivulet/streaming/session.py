@@ -16,6 +16,7 @@ from rivulet.errors import AlreadyExists, NotFound, PlanError, RivuletError
 from rivulet.functions import dialect, scalar
 from rivulet.plans import ddl
 from rivulet.plans.catalog import Catalog, table_of
+from rivulet.plans.options import Options
 from rivulet.plans.query import Compiled, Compiler
 from rivulet.sources.tables import TIME, load
 from rivulet.streaming import sinks
@@ -171,11 +172,14 @@ class Session:
     def _compile(self, text: str, streaming: bool) -> Compiled:
         known = lambda n: n in self.catalog.tables
         timed = lambda n: self.catalog.tables[n].watermark is not None
-        return Compiler(self.spark, text, known, lambda n: self.catalog.tables[n].updating, streaming, timed).compile()
+        reference = lambda n: n in self.catalog.tables and self.catalog.tables[n].role == "reference"
+        return Compiler(self.spark, text, known, lambda n: self.catalog.tables[n].updating, streaming, timed, reference).compile()
 
     def _register(self, names: set[str], streaming: bool) -> None:
         for name in names:
-            load(self.spark, self.catalog.get(name), streaming, self.bound).createOrReplaceTempView(name)
+            table = self.catalog.get(name)
+            rows = load(self.spark, table, streaming and table.role != "reference", self.bound)
+            (rows.drop(TIME) if table.role == "reference" else rows).createOrReplaceTempView(name)
 
     def _select(self, compiled: Compiled, streaming: bool) -> DataFrame:
         self._register(compiled.sources, streaming)
@@ -206,6 +210,8 @@ class Session:
             writer = writer.trigger(availableNow=True)
         elif any(self.catalog.get(n).options.get("rate_limit.messages_per_second") for n in compiled.sources):
             writer = writer.trigger(processingTime="1 second")  # each batch holds a second's records at most
+        elif interval := Options(s.options).duration("flush.interval", None):
+            writer = writer.trigger(processingTime=f"{int(interval * 1000)} milliseconds")
         job.query = writer.start()
         self.jobs[s.name] = job
         self.catalog.add_job(s.name, s.text)
