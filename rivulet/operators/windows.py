@@ -63,6 +63,14 @@ def hop_by_panes(df: DataFrame, time: str, slide: str, size: str, keys: list[str
     return again.groupBy(hop("_rv_time", slide, size).alias(name), *keys).agg(*(F.sum(k).alias(k) for k in sums))
 
 
+def hop_distinct_by_panes(df: DataFrame, time: str, slide: str, size: str, keys: list[str], value: str, out: str, name: str = "window") -> DataFrame:
+    """A hop that counts distinct values, of bounded tables: each value counts once
+    for a pane of one slide, and only those are copied for the windows."""
+    panes = df.groupBy(F.window(time, f"{_micros(slide)} microseconds").alias("_rv_pane"), *keys, value).agg(F.lit(1).alias("_rv_one"))
+    again = panes.withColumn("_rv_time", F.col("_rv_pane.start"))
+    return again.groupBy(hop("_rv_time", slide, size).alias(name), *keys).agg(F.count_distinct(value).alias(out))
+
+
 def reaggregate(df: DataFrame, keys: list[str | Column], aggs: list[Column], name: str = "window") -> DataFrame:
     """Aggregate rows that carry a window already, within that window."""
     if name not in df.columns:

@@ -77,7 +77,7 @@ _HOP = "SELECT make_timestamp(s * 600000000) AS window_start, make_timestamp((s
 @register("hop_distinct_users", _HOP.format("count(DISTINCT user_id) AS users"))
 def hop_distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    return windows.flat(windows.windowed(events, windows.hop("ts", "10 minutes", "1 hour"), ["event_type"], [F.count_distinct("user_id").alias("users")]))
+    return windows.flat(windows.hop_distinct_by_panes(events, "ts", "10 minutes", "1 hour", ["event_type"], "user_id", "users"))
 
 
 @register("hop_by_panes", _HOP.format(f"count(*) AS n, {_C.format('value')} AS cents"))
