@@ -99,7 +99,8 @@ def discard(df: DataFrame) -> None:
 def bounded_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> None:
     """Keep Arrow batches small enough for Python workers that hold whole texts.
 
-    A value that the session's owner lowered further is left alone.
+    The settings stay, as the plans made under them run later. A value that the
+    session's owner lowered further is left alone.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:

@@ -100,7 +100,8 @@ def counts(text: str | None) -> tuple[int, ...]:
 
 
 def with_counts(df: DataFrame, text_col: str = "text", out_col: str = "counts") -> DataFrame:
-    """``df`` with a struct of the counts (longs) of ``text_col``."""
+    """``df`` with a struct of the counts (longs) of ``text_col``; a column of the
+    name ``out_col`` is replaced."""
     bounded_batches(df.sparkSession)
 
     @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
@@ -223,7 +224,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def judge(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``counts`` (a struct), ``base_failed`` and ``kept``."""
+    """``docs`` with ``counts`` (a struct), ``base_failed`` and ``kept``; columns of
+    those names are replaced."""
     return with_counts(docs, text_col).withColumns({"base_failed": base_failed(), "kept": ~base_failed() & rules.verdict()})
 
 
