@@ -558,7 +558,7 @@ _session(
     """,
     "part",
     """
-    SELECT p_partkey, concat('a', NULL, p_brand, p_size) AS joined, '' AS empty, p_name || NULL AS piped, CAST(strpos(p_brand, '#') AS INTEGER) AS found_at, lower(to_hex(p_partkey)) AS hexed, chr(228) AS umlaut, split_part(p_name, ' ', 2) AS second,
+    SELECT p_partkey, concat('a', NULL, p_brand, p_size) AS joined, '' AS empty, CAST(p_name || NULL AS VARCHAR) AS piped, CAST(strpos(p_brand, '#') AS INTEGER) AS found_at, lower(to_hex(p_partkey)) AS hexed, chr(228) AS umlaut, split_part(p_name, ' ', 2) AS second,
       starts_with(p_name, 'small') AS small, ends_with(p_brand, '1') AS one, lpad(p_brand, 10, '*') AS padded, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS capital, CAST(levenshtein(p_brand, 'Brand') AS INTEGER) AS far,
       CAST(length(p_name) AS INTEGER) AS n, sha256(p_name) AS digested, rtrim(to_base64(encode(p_brand)), '=') AS b64, 'Hello' AS hello, md5(p_brand) AS md
     FROM part
