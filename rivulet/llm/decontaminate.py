@@ -197,8 +197,13 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
     goes = contaminated() | (F.col("longest") >= length) if any_window else contaminated()
     bad = contamination(docs, items, id_col, text_col, length).where(goes).select("k1", "k2").distinct()
     keys = [F.col("k1").alias("_rv_k1"), F.col("k2").alias("_rv_k2")]
-    own = docs.withColumns({"_rv_k1": _row_key(id_col), "_rv_k2": _text_key(text_col)})
-    return own.join(bad.select(*keys), ["_rv_k1", "_rv_k2"], "left_anti").drop("_rv_k1", "_rv_k2")
+    bad = bad.select(*keys, F.pmod("k1", F.lit(BUCKETS)).alias("_rv_bucket"))
+    own = docs.withColumns({"_rv_k1": _row_key(id_col), "_rv_k2": _text_key(text_col)}).withColumn("_rv_bucket", F.pmod("_rv_k1", F.lit(BUCKETS)))
+    # only rows that share a bucket with a bad one are shuffled, with their texts
+    buckets = F.broadcast(bad.select("_rv_bucket").distinct())
+    far = own.join(buckets, "_rv_bucket", "left_anti")
+    near = own.join(buckets, "_rv_bucket", "left_semi").join(bad.drop("_rv_bucket"), ["_rv_k1", "_rv_k2"], "left_anti")
+    return far.unionByName(near).drop("_rv_k1", "_rv_k2", "_rv_bucket")
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
