@@ -16,6 +16,7 @@ piece by piece, so that only its ids are held.
 from __future__ import annotations
 
 import base64
+import os
 import re
 import threading
 import time
@@ -223,10 +224,19 @@ def _encoder(tables, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
+#: The last vocabulary broadcast, by application and file.
+_TABLES: dict[tuple, object] = {}
+
+
 def _tables(df: DataFrame, path: str):
-    """Vocabulary and perfect hash, read and built on the driver; their size is the file's."""
-    tokens = load_ranks(path)
-    return df.sparkSession.sparkContext.broadcast((tokens, *PerfectHash.build(tokens)))
+    """Vocabulary and perfect hash, read and built on the driver once; their size is the file's."""
+    context, file = df.sparkSession.sparkContext, os.stat(path)
+    key = (context.applicationId, path, file.st_size, file.st_mtime_ns)
+    if key not in _TABLES:
+        tokens = load_ranks(path)
+        _TABLES.clear()
+        _TABLES[key] = context.broadcast((tokens, *PerfectHash.build(tokens)))
+    return _TABLES[key]
 
 
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
@@ -270,21 +280,21 @@ class Decoder:
 _DECODERS: dict[object, Decoder] = {}
 
 
-def _decoder(tokens) -> Decoder:
-    if tokens not in _DECODERS:
+def _decoder(tables) -> Decoder:
+    if tables not in _DECODERS:
         _DECODERS.clear()
-        _DECODERS[tokens] = Decoder(tokens.value)
-    return _DECODERS[tokens]
+        _DECODERS[tables] = Decoder(tables.value[0])
+    return _DECODERS[tables]
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``df`` with the bytes that ``ids_col`` stands for."""
     bounded_batches(df.sparkSession)
-    tokens = df.sparkSession.sparkContext.broadcast(load_ranks(path))
+    tables = _tables(df, path)
 
     @F.arrow_udf("binary")
     def decoded(ids: pa.Array) -> pa.Array:
-        decoder = _decoder(tokens)
+        decoder = _decoder(tables)
         flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)  # null lists have none
         counts = np.asarray(ids.value_lengths().fill_null(0), np.int64)
         raw = decoder.decode(flat)
