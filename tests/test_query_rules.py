@@ -135,3 +135,12 @@ def test_functions_refused(spark):
     for sql in ("SELECT regexp_replace(k, k, 'x') FROM a", "SELECT get_first_json_object(k, NULL) FROM a", "SELECT extract_json(k, 'no path') FROM a", "SELECT to_char(k, '%Q') FROM a", "SELECT digest(k, 'crc') FROM a", "SELECT encode(k, 'utf-7') FROM a"):
         with pytest.raises(PlanError):
             compiled(spark, sql, streaming=False)
+
+
+def test_updating_aggregate_keeps_its_own_text(spark):
+    """What is made of the changelog stands apart; a bounded run reads the query itself."""
+    sql = "SELECT k, COUNT(*) + 1 AS n, MAX(j) AS top FROM a GROUP BY k HAVING COUNT(*) > 2"
+    got = compiled(spark, sql)
+    assert got.sql == sql and "{changelog}" in got.changes.outer
+    spark.createDataFrame([(1, 5), (1, 7), (1, 6), (2, 9)], "k int, j int").createOrReplaceTempView("a")
+    assert [tuple(r) for r in spark.sql(got.sql).collect()] == [(1, 4, 7)]
