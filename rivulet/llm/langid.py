@@ -7,8 +7,9 @@ distance: for each, how far its rank is from its rank in the profile, or
 ``DEPTH`` if the profile lacks it. The nearest profile wins; equal distances go
 to the language first in alphabet.
 
-Profiles are learned from at most ``PER_LANGUAGE`` ids of each language, those
-of least hash of the id: a documented, bounded sample. Their hashes are first
+Profiles are learned from all rows whose language is known, or, where asked for
+(``digest`` does), from at most ``PER_LANGUAGE`` ids of each language, those of
+least hash of the id: a documented, bounded sample. Their hashes are first
 counted in classes of a logarithmic scale, so that only the few ids in the
 classes that can matter are ranked, however many rows a language has. A text
 without any letter, and null, is ``und`` with score 0. The score is how much
@@ -41,6 +42,11 @@ UNKNOWN = "und"
 #: all but a hundredth of the learning rows reach, or under the cap if that is
 #: less (few learning rows fit their own profiles too well).
 REJECT_QUANTILE, REJECT_SHARE, REJECT_CAP = 0.01, 0.6, 1 / 3
+#: Bins of scores. A score is a whole number over DEPTH times at most DEPTH, so
+#: that one bin has fewer than 1,000 different ones.
+SCORE_BINS = 1 << 16
+#: n-grams that a learning task counts before it hands the counts on.
+GRAMS = 1 << 20
 _SPACE = 0x20
 _FOLD: list[np.ndarray] = []
 
@@ -147,21 +153,51 @@ def _sample(docs: DataFrame, lang_col: str, text_col: str, id_col: str) -> DataF
     return labelled.select(F.col(id_col).alias("_rv_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_rv_id", "left_semi").select("lang", "text")
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Profiles:
-    """Profiles from the rows of ``docs`` whose language is known."""
+def _all_known(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    """lang and text of all rows whose language is known."""
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    if (n := known.select("lang").distinct().count()) > LANGUAGES:
+        raise ValueError(f"{n} languages; at most {LANGUAGES} can be learned")
+    return known
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of n-grams added up."""
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+
+
+def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: bool = True) -> Profiles:
+    """Profiles from the rows of ``docs`` whose language is known, from a bounded
+    ``sample`` of them or from all."""
     bounded_batches(docs.sparkSession)
 
     def count(batches):
-        total: dict[str, Counter] = {}
+        total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def counted() -> pd.DataFrame:
+            rows = [(lang, k, c) for lang, (keys, counts) in total.items() for k, c in zip(keys.tolist(), counts.tolist(), strict=True) if k != _SPACE]
+            total.clear()
+            return pd.DataFrame(rows, columns=["lang", "gram", "n"])
+
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                for keys, counts in _blocks(_letters(text)):
-                    total.setdefault(lang, Counter()).update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
-        rows = [(lang, k, c) for lang, grams in total.items() for k, c in grams.items() if k != _SPACE]
-        yield pd.DataFrame(rows, columns=["lang", "gram", "n"])
+            for lang, texts in batch.groupby("lang")["text"]:
+                parts, held = [total[lang]] if lang in total else [], 0
+                for text in texts:
+                    for keys, counts in _blocks(_letters(text)):
+                        parts.append((keys, counts))
+                        held += len(keys)
+                        if held > GRAMS:
+                            parts, held = [_added(parts)], 0
+                if parts:
+                    total[lang] = _added(parts)
+                if sum(len(k) for k, _ in total.values()) > GRAMS:
+                    yield counted()
+        yield counted()
 
     with scratch(docs.sparkSession):
-        grams = _sample(docs, lang_col, text_col, id_col).mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        rows = _sample(docs, lang_col, text_col, id_col) if sample else _all_known(docs, lang_col, text_col)
+        grams = rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         top = grams.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= DEPTH)
         rows = top.select("lang", "gram", "r").collect()  # DEPTH for each of at most LANGUAGES
     ranked: dict[str, list[int]] = {}
@@ -184,13 +220,35 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", out: t
     return docs.withColumn(tmp, predict(F.col(text_col))).withColumns({out[0]: F.col(f"{tmp}.lang"), out[1]: F.col(f"{tmp}.score")}).drop(tmp)
 
 
-def reject_level(docs: DataFrame, profiles: Profiles, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> float:
+def reject_level(told: DataFrame, lang_col: str = "lang", text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> float:
     """The score under which a text is like no language of the profiles, from
-    the scores of the rows of ``docs`` that they are learned from."""
-    with scratch(docs.sparkSession):
-        told = identify(_sample(docs, lang_col, text_col, id_col), profiles, out=("_rv_lang", "_rv_score")).where(F.col("_rv_lang") != UNKNOWN)
-        low = told.agg(F.percentile("_rv_score", F.lit(REJECT_QUANTILE))).first()[0]
-    return min(REJECT_CAP, REJECT_SHARE * low) if low is not None else 0.0
+    the scores in ``told`` (as ``identify`` returns it) of all rows that the
+    profiles are learned from.
+
+    The quantile is exact, between two scores in proportion: all scores are
+    counted in bins, and then those of the two bins that it falls in one by one."""
+    known = told.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(out[0]) != UNKNOWN)).select(F.col(out[1]).alias("s"), F.floor(F.col(out[1]) * SCORE_BINS).alias("b"))
+    bins = sorted(known.groupBy("b").agg(F.count("*").alias("n")).collect())
+    if not bins:
+        return 0.0
+    place = REJECT_QUANTILE * (sum(n for _, n in bins) - 1)
+
+    def at(k: int) -> float:
+        below = 0
+        for b, n in bins:
+            if k < below + n:
+                break
+            below += n
+        for s, n in sorted(known.where(F.col("b") == b).groupBy("s").agg(F.count("*").alias("n")).collect()):
+            below += n
+            if k < below:
+                return s
+        raise AssertionError("the scores changed between two readings")
+
+    low = at(int(place))
+    part = place - int(place)
+    level = low + part * (at(int(place) + 1) - low) if part else low
+    return min(REJECT_CAP, REJECT_SHARE * level)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -106,3 +106,29 @@ def test_long_text_in_blocks():
         assert np.array_equal(L.frequent(text), whole)
     finally:
         L.BLOCK = old
+
+
+def test_all_rows_are_learned_from(spark, monkeypatch):
+    """Without a sample every row counts, for the profiles and for the level, whose
+    quantile is exact; a task that hands its counts on early changes nothing."""
+    monkeypatch.setattr(L, "PER_LANGUAGE", 2)
+    monkeypatch.setattr(L, "BLOCK", 50)
+    rows = [r for r in case() if r[0] < 100]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    whole = {lang: ranked(sum((grams(t) for _, t, x in rows if x == lang), Counter())) for lang in ("aa", "bb", "cc")}
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+    want = L.Profiles({lang: [code(g) for g in found] for lang, found in whole.items()})
+    for held in (L.GRAMS, 10):
+        monkeypatch.setattr(L, "GRAMS", held)
+        got = L.learn(docs, sample=False)
+        assert np.array_equal(got.keys, want.keys) and np.array_equal(got.ranks, want.ranks)
+    told = L.identify(docs, want)
+    monkeypatch.setattr(L, "REJECT_CAP", 1.0)
+    for quantile in (0.01, 0.3, 1.0):
+        monkeypatch.setattr(L, "REJECT_QUANTILE", quantile)
+        scores = [want.predict(t)[1] for _, t, _ in rows]
+        assert abs(L.reject_level(told) - L.REJECT_SHARE * np.quantile(scores, quantile)) < 1e-12
+    assert L.reject_level(told.limit(0)) == 0.0
+    monkeypatch.setattr(L, "LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        L.learn(docs, sample=False)
