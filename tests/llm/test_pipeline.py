@@ -55,3 +55,12 @@ def test_one_row_of_each_component_stays(spark):
     assert kept.columns == docs.columns
     got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
     assert got == sorted([(3, a), (0, b), (0, ""), (9, "other words than those"), (9, b + " " + a)])
+
+
+def test_lines_are_put_together_once(spark):
+    """No filter of the line stage splits and joins the texts again."""
+    docs = spark.createDataFrame([(1, "a b c\nd e", "en", "x", 9), (2, "a b c", "en", "x", 5), (3, None, "en", "x", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    done = corpus_pipeline.lines(spark, docs, "")
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in done.collect()) == [(1, "a b c\nd e", 9), (3, None, None)]
